@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from lodeline.plans import partition_queries
+
+MODULES = [partition_queries]
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for m in MODULES for k, (f, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: sql for m in MODULES for k, (_, sql) in m.QUERIES.items() if sql}
