@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodeline.llm import encode
+from lodeline.llm import encode, mixing, topn
 from lodeline.plans.runtime import read
 
 
@@ -12,9 +13,48 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode(read(spark, d, "documents"))
 
 
+def _mixture(spark: SparkSession, d: str) -> mixing.Mixture:
+    return mixing.plan_mixtures(read(spark, d, "documents"), read(spark, d, "mix_targets"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).report
+
+
+def p7_records(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.drawn_records(_mixture(spark, d))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).report.where("short").select("mix_id", "source").distinct()
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return topn.top_n(topn.valid_items(read(spark, d, "search_results")), 10).select("qid", "vec_id")
+
+
+P4_SQL = """
+WITH latest AS (
+  SELECT qid, vec_id, score, row_number() OVER (PARTITION BY qid, vec_id ORDER BY received_at DESC NULLS LAST, CASE WHEN score IS NULL THEN 0 WHEN isnan(score) THEN 2 ELSE 1 END DESC, score DESC) AS n
+  FROM search_results WHERE qid IS NOT NULL AND vec_id IS NOT NULL),
+ranked AS (
+  SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS n FROM latest WHERE n = 1 AND score IS NOT NULL AND NOT isnan(score))
+SELECT qid, vec_id FROM ranked WHERE n <= 10
+"""
+
+
+QUERIES = {
+    "p4_found": p4_found,
+    "p6_ids": p6_ids,
+    "p7_report": p7_report,
+    "p7_records": p7_records,
+    "p7_found": p7_found,
+}
+
+
 def queries() -> dict:
-    return {"p6_ids": p6_ids}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p4_found": P4_SQL}
