@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.llm import encode, mixing, topn
+from lodeline.llm import encode, mixing, neighbours, topn
+from lodeline.operators.usable import usable
 from lodeline.plans.runtime import read
 
 
@@ -29,6 +30,10 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d).report.where("short").select("mix_id", "source").distinct()
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar_pairs(neighbours.knn(usable(read(spark, d, "vectors")), k=5, min_score=0.90))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n(topn.valid_items(read(spark, d, "search_results")), 10).select("qid", "vec_id")
 
@@ -44,6 +49,7 @@ SELECT qid, vec_id FROM ranked WHERE n <= 10
 
 
 QUERIES = {
+    "p2_found": p2_found,
     "p4_found": p4_found,
     "p6_ids": p6_ids,
     "p7_report": p7_report,
