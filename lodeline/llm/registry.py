@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.llm import encode, mixing, neighbours, topn
+from lodeline.llm import clusters, encode, mixing, neighbours, topn
 from lodeline.operators.usable import usable
 from lodeline.plans.runtime import read
 
@@ -38,6 +38,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n(topn.valid_items(read(spark, d, "search_results")), 10).select("qid", "vec_id")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.tight_clusters(usable(read(spark, d, "vectors")), clusters.nlist_of(read(spark, d, "ivf_config")))
+
+
+def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
+    packed = clusters.pack(usable(read(spark, d, "vectors")), 128)
+    model = clusters.fit(packed, packed.count(), clusters.nlist_of(read(spark, d, "ivf_config")), 128)
+    return clusters.describe(packed, model, 128)
+
+
 P4_SQL = """
 WITH latest AS (
   SELECT qid, vec_id, score, row_number() OVER (PARTITION BY qid, vec_id ORDER BY received_at DESC NULLS LAST, CASE WHEN score IS NULL THEN 0 WHEN isnan(score) THEN 2 ELSE 1 END DESC, score DESC) AS n
@@ -51,6 +61,8 @@ SELECT qid, vec_id FROM ranked WHERE n <= 10
 QUERIES = {
     "p2_found": p2_found,
     "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p5_clusters": p5_clusters,
     "p6_ids": p6_ids,
     "p7_report": p7_report,
     "p7_records": p7_records,
