@@ -7,7 +7,7 @@ be expected) and until it has met ``PROBES`` cells that hold vectors. The entrie
 For all vectors at once: cells that lie together form groups of about ``GROUP`` entries; a vector is sent to the group of its own
 cell, as entry and query, and as a query to each other group of which it walks a cell. A group's cells are scored as blocks of a
 matrix product. A cell with more entries than ``HOT`` is spread over several groups of its own, all of which its queries visit,
-so nothing is cut. Vectors of equal content are one row of the products, whatever their number.
+so nothing is cut. Vectors of equal content are one row of the products, and travel as one row for each batch, whatever their number.
 """
 
 from __future__ import annotations
@@ -27,14 +27,14 @@ from lodeline.plans.runtime import materialize
 
 #: Vectors at most, chosen by a hash of their ids, on which the half centroids are fitted (all are indexed).
 SAMPLE = 32768
-#: Half centroids at most; there are as many as give about 16 vectors for each pair of them.
-MOST_CENTROIDS = 512
-PROBES = 8
+#: Half centroids at most; there are about as many as the square root of the number of vectors.
+MOST_CENTROIDS = 1024
+PROBES = 4
 #: Squared distance of unit vectors of score 0.9.
 REACH = 0.4
 #: Nearest half centroids whose pairs the walk covers.
 NEAREST = 32
-GROUP = 16384
+GROUP = 24576
 HOT = 32768
 #: Elements of a block of scores.
 BLOCK = 1 << 20
@@ -76,7 +76,7 @@ class MultiIndex:
     def __init__(self, sample: np.ndarray, n: int, seed: int = 0):
         self.dim = sample.shape[1]
         self.half = self.dim // 2
-        self.k = max(4, min(MOST_CENTROIDS, 1 << math.ceil(math.log2(max(1, n / 16)) / 2)))
+        self.k = max(4, min(MOST_CENTROIDS, 1 << math.ceil(math.log2(max(1, n)) / 2)))
         x = unit(sample)
         self.c1 = lloyd(x[:, : self.half], self.k, seed=seed)
         self.c2 = lloyd(x[:, self.half :], self.k, seed=seed + 1)
@@ -145,7 +145,14 @@ class MultiIndex:
         return out
 
 
-def _routed(ids: np.ndarray, own: np.ndarray, raw: list[bytes], probed: list[list[int]], index: MultiIndex) -> pa.RecordBatch:
+def distinct(ids: np.ndarray, raw: list[bytes]) -> tuple[list[bytes], list[np.ndarray]]:
+    """The contents of a batch, and the ids of each."""
+    code, names = pd.factorize(np.array(raw, dtype=object))
+    o = np.argsort(code, kind="stable")
+    return list(names), np.split(ids[o], np.searchsorted(code[o], np.arange(1, len(names))))
+
+
+def _routed(ids: list[np.ndarray], own: np.ndarray, raw: list[bytes], probed: list[list[int]], index: MultiIndex) -> pa.RecordBatch:
     first, spread = index.first, index.spread
     grp, home, ident, vec, probes = [], [], [], [], []
     for i, cells in enumerate(probed):
@@ -154,16 +161,16 @@ def _routed(ids: np.ndarray, own: np.ndarray, raw: list[bytes], probed: list[lis
             for g in range(first[c], first[c] + spread[c]):
                 at.setdefault(g, []).append(c)
         o = int(own[i])
-        mine = int(first[o]) + (hash_id(int(ids[i])) % int(spread[o]) if spread[o] > 1 else 0)
+        mine = int(first[o]) + (hash_id(int(ids[i][0])) % int(spread[o]) if spread[o] > 1 else 0)
         at.setdefault(mine, [])
         for g, cs in at.items():
             grp.append(g)
             home.append(o if g == mine else -1)
-            ident.append(ids[i])
+            ident.append(ids[i].tobytes())
             vec.append(raw[i])
             probes.append(np.array(cs, np.int32).tobytes())
     return pa.RecordBatch.from_arrays(
-        [pa.array(grp, pa.int32()), pa.array(home, pa.int32()), pa.array(np.array(ident, np.int64)), pa.array(vec, pa.binary()), pa.array(probes, pa.binary())], ["grp", "home", "vec_id", "v", "probes"]
+        [pa.array(grp, pa.int32()), pa.array(home, pa.int32()), pa.array(ident, pa.binary()), pa.array(vec, pa.binary()), pa.array(probes, pa.binary())], ["grp", "home", "ids", "v", "probes"]
     )
 
 
@@ -171,14 +178,16 @@ def hash_id(i: int) -> int:
     return (i * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 40
 
 
-def score_group(ids: np.ndarray, home: np.ndarray, raw: list[bytes], probes: list[bytes], dim: int, k: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, neighbour id, score x 1e9 rounded): for each row's query its k best entries among the cells it walks."""
+def score_group(packed_ids: list[bytes], home: np.ndarray, raw: list[bytes], probes: list[bytes], dim: int, k: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, neighbour id, score x 1e9 rounded): for each id's query its k best entries among the cells its row walks."""
+    row_content, names = pd.factorize(np.array(raw, dtype=object))
+    n = len(names)
+    x = unit(np.frombuffer(b"".join(names), np.float32).reshape(-1, dim))
+    ids = np.frombuffer(b"".join(packed_ids), np.int64)
+    of_row = np.repeat(np.arange(len(raw)), [len(b) // 8 for b in packed_ids])
     order = np.argsort(ids, kind="stable")
-    ids, home = ids[order], home[order]
-    raw, probes = [raw[i] for i in order], [probes[i] for i in order]
-    content, distinct = pd.factorize(np.array(raw, dtype=object))
-    n = len(distinct)
-    x = unit(np.frombuffer(b"".join(distinct), np.float32).reshape(-1, dim))
+    ids, of_row = ids[order], of_row[order]
+    content, home = row_content[of_row], home[of_row]
     # Entries: contents with a row at home, by their smallest id; at most k + 1 ids of a content can matter to anyone.
     at_home = np.flatnonzero(home >= 0)
     e_ids: list[list[int]] = [[] for _ in range(n)]
@@ -195,7 +204,7 @@ def score_group(ids: np.ndarray, home: np.ndarray, raw: list[bytes], probes: lis
     cells, begin = np.unique(e_cell[entries], return_index=True)
     end = np.append(begin[1:], len(entries))
     # Queries: contents, with the cells that the first row of that content walks here.
-    _, row = np.unique(content, return_index=True)
+    _, row = np.unique(row_content, return_index=True)
     walked = [np.frombuffer(probes[r], np.int32) for r in row]
     q_of = np.repeat(np.arange(n), [len(w) for w in walked])
     c_of = np.concatenate(walked) if walked else np.zeros(0, np.int32)
@@ -281,7 +290,8 @@ def knn(vectors: DataFrame, k: int = 5, min_score: float = 0.0, dim: int = 128,
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[int, int] = {}
         for b in batches:
-            for c, m in zip(*(x.tolist() for x in np.unique(model.value.cells(as_matrix(b.column(0), dim)), return_counts=True))):
+            m = np.frombuffer(b"".join(dict.fromkeys(b.column(0).to_pylist())), np.float32).reshape(-1, dim)
+            for c, m in zip(*(x.tolist() for x in np.unique(model.value.cells(m), return_counts=True))):
                 got[c] = got.get(c, 0) + m
         yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int32()), pa.array(list(got.values()), pa.int64())], ["cell", "n"])
 
@@ -292,19 +302,19 @@ def knn(vectors: DataFrame, k: int = 5, min_score: float = 0.0, dim: int = 128,
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in range(0, b.num_rows, 2000):
-                c = b.slice(s, 2000)
-                raw = c.column(1).to_pylist()
-                m = np.frombuffer(b"".join(raw), np.float32).reshape(-1, dim)
-                yield _routed(c.column(0).to_numpy(), placed.value.cells(m), raw, placed.value.probed(m, probes, reach), placed.value)
+            raw, ids = distinct(b.column(0).to_numpy(), b.column(1).to_pylist())
+            for s in range(0, len(raw), 2000):
+                part = raw[s : s + 2000]
+                m = np.frombuffer(b"".join(part), np.float32).reshape(-1, dim)
+                yield _routed(ids[s : s + 2000], placed.value.cells(m), part, placed.value.probed(m, probes, reach), placed.value)
 
     least = math.ceil(round(min_score * 1e9, 3))
 
     def score(t: pa.Table) -> pa.Table:
-        q, e, s = score_group(t["vec_id"].to_numpy(), t["home"].to_numpy(), t["v"].to_pylist(), t["probes"].to_pylist(), dim, k, least)
+        q, e, s = score_group(t["ids"].to_pylist(), t["home"].to_numpy(), t["v"].to_pylist(), t["probes"].to_pylist(), dim, k, least)
         return pa.table({"vec_id": q, "neighbour": e, "s": s})
 
-    routed = packed.mapInArrow(route, "grp int, home int, vec_id bigint, v binary, probes binary")
+    routed = packed.mapInArrow(route, "grp int, home int, ids binary, v binary, probes binary")
     local = routed.groupBy("grp").applyInArrow(score, "vec_id bigint, neighbour bigint, s bigint")
     w = Window.partitionBy("vec_id").orderBy(F.desc("s"), "neighbour")
     best = local.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
