@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.llm import clusters, encode, mixing, neighbours, topn
+from lodeline.llm import clusters, encode, mixing, neighbours, subset, topn
 from lodeline.operators.usable import usable
 from lodeline.plans.runtime import read
 
@@ -30,6 +30,14 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d).report.where("short").select("mix_id", "source").distinct()
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return subset.crowds(usable(read(spark, d, "vectors")), read(spark, d, "pq_codebooks"))
+
+
+def p1_subset(spark: SparkSession, d: str) -> DataFrame:
+    return subset.varied_subset(usable(read(spark, d, "vectors")), read(spark, d, "pq_codebooks"), 1000)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.similar_pairs(neighbours.knn(usable(read(spark, d, "vectors")), k=5, min_score=0.90))
 
@@ -59,6 +67,8 @@ SELECT qid, vec_id FROM ranked WHERE n <= 10
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_subset": p1_subset,
     "p2_found": p2_found,
     "p4_found": p4_found,
     "p5_found": p5_found,
