@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.llm import clusters, encode, mixing, neighbours, subset, topn
+from lodeline.llm import clusters, encode, mixing, neighbours, subset, topn, truncation
 from lodeline.operators.usable import usable
 from lodeline.plans.runtime import read
 
@@ -66,6 +66,14 @@ SELECT qid, vec_id FROM ranked WHERE n <= 10
 """
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(read(spark, d, "documents"))
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.rates(read(spark, d, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_subset": p1_subset,
@@ -77,6 +85,8 @@ QUERIES = {
     "p7_report": p7_report,
     "p7_records": p7_records,
     "p7_found": p7_found,
+    "p8_found": p8_found,
+    "p8_rates": p8_rates,
 }
 
 
