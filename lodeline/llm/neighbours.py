@@ -4,7 +4,7 @@ Unit vectors are quantised half by half; a cell is a pair of half centroids. A q
 squared distance, with a heap, as long as the pairs are within ``REACH`` (where a vector of score 0.9 or more can
 be expected) and until it has met ``PROBES`` cells that hold vectors. The entries of all cells it met are reranked by the exact score.
 
-For all vectors at once: cells that lie together form groups of about ``GROUP`` entries; a vector is sent to the group of its own
+For all vectors at once: cells that lie together form groups of about ``GROUP`` entries or fewer; a vector is sent to the group of its own
 cell, as entry and query, and as a query to each other group of which it walks a cell. A group's cells are scored as blocks of a
 matrix product. A cell with more entries than ``HOT`` is spread over several groups of its own, all of which its queries visit,
 so nothing is cut. Vectors of equal content are one row of the products, and travel as one row for each batch, whatever their number.
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeline.functions.kmeans import lloyd, sq_dist
-from lodeline.plans.runtime import materialize
+from lodeline.plans.runtime import materialize, parallelism
 
 #: Vectors at most, chosen by a hash of their ids, on which the half centroids are fitted (all are indexed).
 SAMPLE = 32768
@@ -90,39 +90,30 @@ class MultiIndex:
         return d1.argmin(1) * self.k + d2.argmin(1)
 
     def place(self, cells: np.ndarray, counts: np.ndarray, group: int = GROUP, hot: int = HOT) -> None:
-        """first[cell]: its first group, or -1; spread[cell]: over how many groups. Halves sets of cells across their main
-        direction, at the widest gap near the middle of their weight."""
+        """first[cell]: its first group, or -1; spread[cell]: over how many groups. The pairs that a query walks share their first or their
+        second centroid, so the cells of a first centroid stay together, with those of centroids like it; only a first centroid of more entries
+        than a group is divided by its second ones."""
         self.first = np.full(self.k * self.k, -1, np.int32)
         self.spread = np.ones(self.k * self.k, np.int32)
         self.groups = 0
-
-        def new(members: np.ndarray, width: int = 1) -> None:
-            self.first[members] = self.groups
-            self.spread[members] = width
-            self.groups += width
-
-        big = counts > hot
-        for c, n in zip(cells[big], counts[big]):
-            new(np.array([c]), int(math.ceil(n / hot)))
-        todo = [(cells[~big], counts[~big])] if (~big).any() else []
-        while todo:
-            m, w = todo.pop()
-            if w.sum() <= group or len(m) == 1:
-                new(m)
+        mass = np.bincount(cells // self.k, weights=counts, minlength=self.k)
+        for part in _halved(np.flatnonzero(mass), mass[mass > 0], lambda i: self.c1[i], group):
+            mine = np.isin(cells // self.k, part)
+            if counts[mine].sum() <= group:
+                self._new(cells[mine])
                 continue
-            x = np.hstack([self.c1[m // self.k], self.c2[m % self.k]])
-            x = x - (x * w[:, None]).sum(0) / w.sum()
-            u = x[np.argmax((x * x).sum(1))].copy()
-            for _ in range(8):
-                u = x.T @ (w * (x @ u))
-                u /= np.linalg.norm(u) or 1.0
-            p = x @ u
-            order = np.argsort(p, kind="stable")
-            upto = np.cumsum(w[order]) / w.sum()
-            gap = np.diff(p[order])
-            near = (upto[:-1] >= 0.3) & (upto[:-1] <= 0.7)
-            cut = int(np.argmax(np.where(near, gap, -1))) + 1 if near.any() else min(len(m) - 1, int(np.searchsorted(upto, 0.5)) + 1)
-            todo += [(m[order[:cut]], w[order[:cut]]), (m[order[cut:]], w[order[cut:]])]
+            c, n = cells[mine], counts[mine]
+            for one, size in zip(c[n > hot], n[n > hot]):
+                self._new(np.array([one]), int(math.ceil(size / hot)))
+            small = n <= hot
+            if small.any():
+                for sub in _halved(c[small], n[small], lambda m: self.c2[m % self.k], group):
+                    self._new(sub)
+
+    def _new(self, members: np.ndarray, width: int = 1) -> None:
+        self.first[members] = self.groups
+        self.spread[members] = width
+        self.groups += width
 
     def probed(self, v: np.ndarray, probes: int, reach: float) -> list[list[int]]:
         """The held cells that each vector walks, nearest first."""
@@ -145,6 +136,30 @@ class MultiIndex:
         return out
 
 
+def _halved(items: np.ndarray, weight: np.ndarray, point, most: float) -> list[np.ndarray]:
+    """Sets of items of at most ``most`` weight (or one item), by halving across the main direction of their points, at the widest gap near
+    the middle of the weight."""
+    out, todo = [], [(items, weight)]
+    while todo:
+        m, w = todo.pop()
+        if w.sum() <= most or len(m) == 1:
+            out.append(m)
+            continue
+        x = point(m)
+        x = x - (x * w[:, None]).sum(0) / w.sum()
+        u = x[np.argmax((x * x).sum(1))].copy()
+        for _ in range(8):
+            u = x.T @ (w * (x @ u))
+            u /= np.linalg.norm(u) or 1.0
+        p = x @ u
+        order = np.argsort(p, kind="stable")
+        upto = np.cumsum(w[order]) / w.sum()
+        near = (upto[:-1] >= 0.3) & (upto[:-1] <= 0.7)
+        cut = int(np.argmax(np.where(near, np.diff(p[order]), -1))) + 1 if near.any() else min(len(m) - 1, int(np.searchsorted(upto, 0.5)) + 1)
+        todo += [(m[order[:cut]], w[order[:cut]]), (m[order[cut:]], w[order[cut:]])]
+    return out
+
+
 def distinct(ids: np.ndarray, raw: list[bytes]) -> tuple[list[bytes], list[np.ndarray]]:
     """The contents of a batch, and the ids of each."""
     code, names = pd.factorize(np.array(raw, dtype=object))
@@ -297,6 +312,7 @@ def knn(vectors: DataFrame, k: int = 5, min_score: float = 0.0, dim: int = 128,
 
     model = spark.sparkContext.broadcast(index)
     sizes = packed.select("v").mapInArrow(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    group = min(group, max(1024, math.ceil(n / parallelism(spark))))  # as many groups as tasks, at least
     index.place(sizes["cell"].to_numpy().astype(np.int64), sizes["n"].to_numpy(), group, hot)
     placed = spark.sparkContext.broadcast(index)
 
