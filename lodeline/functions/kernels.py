@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 TINY = 1e-10
 
@@ -11,7 +12,7 @@ TINY = 1e-10
 def matrix(column: pa.Array | pa.ChunkedArray, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(rows of ``dim`` elements in double, positions of those rows). Rows that are null, of another length or hold a null are left out."""
     c = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    size = np.asarray(pa.compute.list_value_length(c).fill_null(-1))
+    size = np.asarray(pc.list_value_length(c).fill_null(-1))
     if dim is None:
         dim = int(size.max()) if len(size) else 0
     at = np.flatnonzero(size == dim)

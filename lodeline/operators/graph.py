@@ -144,29 +144,33 @@ def search(nodes: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, con
     for qids, q in query_slices(queries):
         shared = spark.sparkContext.broadcast((qids, q))
 
-        def one(t: pa.Table, shared=shared) -> pa.Table:
-            qids, q = shared.value
-            x, at = matrix(t["v"])
-            ids, level = t["id"].to_numpy()[at], t["level"].to_numpy()[at]
-            place = {i: n for n, i in enumerate(ids.tolist())}
-            g = Graph(config)
-            links = t["neighbors"].to_pylist()
-            g.links = [[[place[j] for j in layer or [] if j in place] for layer in links[a] or []] or [[]] for a in at]
-            g.entry = int(np.lexsort((ids, -level))[0]) if len(ids) else -1
-            g.top = len(g.links[g.entry]) - 1 if len(ids) else -1
-            y, z = (x, q) if score else (_unit(x), _unit(q))
-            of = score or (lambda q, r: (1 + q @ r.T) / 2)
-            rows: tuple[list, list, list] = [], [], []
-            for n in range(len(q)):
-                for dist, i in g.search(lambda r, n=n: 1 - of(z[n : n + 1], y[r])[0], 2 * k, config.ef_search):
-                    rows[0].append(int(qids[n])), rows[1].append(int(ids[i])), rows[2].append(round(1 - dist, 9))
-            return pa.table({"qid": pa.array(rows[0], pa.int64()), "vec_id": pa.array(rows[1], pa.int64()), "s": pa.array(rows[2], pa.float64())})
-
-        part = d.groupBy("shard").applyInArrow(one, SCHEMA)
+        part = d.groupBy("shard").applyInArrow(_beams(shared, k, config, score), SCHEMA)
         out = part if out is None else out.union(part)
     return ranked(out if out is not None else spark.createDataFrame([], SCHEMA), k)
 
 
+def _beams(shared, k: int, config: HNSWConfig, score) -> Callable[[pa.Table], pa.Table]:
+    def one(t: pa.Table) -> pa.Table:
+        qids, q = shared.value
+        x, at = matrix(t["v"])
+        ids, level = t["id"].to_numpy()[at], t["level"].to_numpy()[at]
+        place = {i: n for n, i in enumerate(ids.tolist())}
+        g = Graph(config)
+        links = t["neighbors"].to_pylist()
+        g.links = [[[place[j] for j in layer or [] if j in place] for layer in links[a] or []] or [[]] for a in at]
+        g.entry = int(np.lexsort((ids, -level))[0]) if len(ids) else -1
+        g.top = len(g.links[g.entry]) - 1 if len(ids) else -1
+        y, z = (x, q) if score else (_unit(x), _unit(q))
+        of = score or (lambda q, r: (1 + q @ r.T) / 2)
+        rows: tuple[list, list, list] = [], [], []
+        for n in range(len(q)):
+            for dist, i in g.search(lambda r, n=n: 1 - of(z[n : n + 1], y[r])[0], 2 * k, config.ef_search):
+                rows[0].append(int(qids[n])), rows[1].append(int(ids[i])), rows[2].append(round(1 - dist, 9))
+        return pa.table({"qid": pa.array(rows[0], pa.int64()), "vec_id": pa.array(rows[1], pa.int64()), "s": pa.array(rows[2], pa.float64())})
+
+    return one
+
+
 def edges(nodes: DataFrame) -> DataFrame:
     """``shard, layer, src, dst``: distinct links of stored nodes, without null lists, self links and links to ids that the shard doesn't hold."""
     n = nodes.where("id is not null and shard is not null").select("shard", "id", F.posexplode("neighbors").alias("layer", "links"))

@@ -11,7 +11,7 @@ def enrich(metadata: str, ext_id: str) -> Column:
     m, i = f"`{metadata}`", f"cast(`{ext_id}` as string)"
     asmap = f"from_json({m}, 'map<string,variant>')"
     return F.expr(
-        f"""CASE WHEN try_parse_json({m}) IS NOT NULL AND try_parse_json({m}) IS DISTINCT FROM NULL AND schema_of_variant(try_parse_json({m})) NOT LIKE 'OBJECT%' THEN to_json(try_parse_json({m}))
+        f"""CASE WHEN try_parse_json({m}) IS NOT NULL AND schema_of_variant(try_parse_json({m})) NOT LIKE 'OBJECT%' THEN to_json(try_parse_json({m}))
         ELSE to_json(map_from_entries(array_sort(map_entries(map_concat(
           map_filter(coalesce(CASE WHEN try_parse_json({m}) IS NOT NULL THEN {asmap} END, cast(map() as map<string,variant>)), (k, v) -> k <> '__id__'), map('__id__', cast({i} AS variant)))),
           (a, b) -> CASE WHEN a.key < b.key THEN -1 WHEN a.key > b.key THEN 1 ELSE 0 END))) END"""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodeline.plans import partition_queries
+from lodeline.plans import partition_queries, row_queries, search_queries
 
-MODULES = [partition_queries]
+MODULES = [search_queries, row_queries, partition_queries]
 
 
 def queries() -> dict:
