@@ -128,7 +128,7 @@ class Collection:
         if not n:
             return 0
         base = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])
-        rows = d.withColumn("vec_id", F.lit(start) + base[F.col("p")] + F.row_number().over(Window.partitionBy("p").orderBy("o")) - 1)
+        rows = d.withColumn("vec_id", F.lit(start) + base[F.col("p")] + F.row_number().over(Window.partitionBy("p").orderBy("o")) - 1).withColumn("vec_id", F.col("vec_id").cast("long"))
         rows = rows.select("vec_id", "ext_id", "embedding", metadata.enrich("metadata", "ext_id").alias("metadata"))
         self.store.append("rows", rows)
         self.store.manifest["next_id"] = start + n
