@@ -46,8 +46,9 @@ def leaders(x: np.ndarray, cos: float) -> tuple[np.ndarray, np.ndarray]:
 def far_pairs(x: np.ndarray, cos: float) -> np.ndarray:
     """Pairs (i < j) of rows below ``cos``."""
     out = []
-    for s in range(0, len(x), BLOCK):
-        i, j = np.nonzero(x[s : s + BLOCK] @ x[s:].T < cos)
+    step = max(1, (1 << 22) // max(1, len(x)))
+    for s in range(0, len(x), step):
+        i, j = np.nonzero(x[s : s + step] @ x[s:].T < cos)
         keep = i < j
         out.append(np.stack([i[keep] + s, j[keep] + s], 1))
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
