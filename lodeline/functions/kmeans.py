@@ -11,6 +11,17 @@ def sq_dist(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0, out=d)
 
 
+def nearest(x: np.ndarray, c: np.ndarray, block: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the nearest centroid, squared distance to it) of each row, in blocks of bounded size."""
+    step = max(1, block // max(1, len(c)))
+    at, d = np.empty(len(x), np.int64), np.empty(len(x))
+    for s in range(0, len(x), step):
+        e = sq_dist(x[s : s + step], c)
+        at[s : s + step] = i = e.argmin(1)
+        d[s : s + step] = e[np.arange(len(i)), i]
+    return at, d
+
+
 def seed_far(x: np.ndarray, k: int, rng: np.random.Generator, block: int = 16) -> np.ndarray:
     """k rows of x, drawn in blocks with a probability that grows with the distance to those drawn before."""
     if len(x) <= k:
@@ -32,8 +43,7 @@ def lloyd(x: np.ndarray, k: int, iterations: int = 10, seed: int = 0) -> np.ndar
     rng = np.random.default_rng(seed)
     c = seed_far(x, k, rng)
     for _ in range(iterations):
-        d = sq_dist(x, c)
-        near = d.argmin(1)
+        near, d = nearest(x, c)
         n = np.bincount(near, minlength=k)
         s = np.zeros_like(c)
         np.add.at(s, near, x)
@@ -41,7 +51,7 @@ def lloyd(x: np.ndarray, k: int, iterations: int = 10, seed: int = 0) -> np.ndar
         new = c.copy()
         new[full] = s[full] / n[full, None]
         if (~full).any():
-            far = np.argsort(-d[np.arange(len(x)), near], kind="stable")[: (~full).sum()]
+            far = np.argsort(-d, kind="stable")[: (~full).sum()]
             new[np.flatnonzero(~full)[: len(far)]] = x[far]
         if np.array_equal(new, c):
             break
