@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeline.functions.kmeans import lloyd, sq_dist
+from lodeline.functions.kmeans import lloyd, nearest, sq_dist
 from lodeline.plans.runtime import materialize, parallelism
 
 #: Vectors at most, chosen by a hash of their ids, on which the half centroids are fitted (all are indexed).
@@ -86,8 +86,8 @@ class MultiIndex:
         return sq_dist(x[:, : self.half], self.c1), sq_dist(x[:, self.half :], self.c2)
 
     def cells(self, v: np.ndarray) -> np.ndarray:
-        d1, d2 = self.halves(v)
-        return d1.argmin(1) * self.k + d2.argmin(1)
+        x = unit(v)
+        return nearest(x[:, : self.half], self.c1)[0] * self.k + nearest(x[:, self.half :], self.c2)[0]
 
     def place(self, cells: np.ndarray, counts: np.ndarray, group: int = GROUP, hot: int = HOT) -> None:
         """first[cell]: its first group, or -1; spread[cell]: over how many groups. The pairs that a query walks share their first or their
@@ -120,13 +120,13 @@ class MultiIndex:
         d1, d2 = self.halves(v)
         n = min(NEAREST, self.k)
 
-        def nearest(d: np.ndarray) -> tuple[list, list]:
+        def shortlist(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             at = np.argpartition(d, n - 1, axis=1)[:, :n] if n < self.k else np.tile(np.arange(self.k), (len(d), 1))
             val = np.take_along_axis(d, at, 1)
             o = np.argsort(val, axis=1, kind="stable")
             return np.take_along_axis(at, o, 1), np.take_along_axis(val, o, 1)
 
-        (a1, v1), (a2, v2) = nearest(d1), nearest(d2)
+        (a1, v1), (a2, v2) = shortlist(d1), shortlist(d2)
         cell = a1[:, :, None] * self.k + a2[:, None, :]
         held = self.first[cell] >= 0
         out = []
@@ -319,10 +319,10 @@ def knn(vectors: DataFrame, k: int = 5, min_score: float = 0.0, dim: int = 128,
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, ids = distinct(b.column(0).to_numpy(), b.column(1).to_pylist())
-            for s in range(0, len(raw), 2000):
-                part = raw[s : s + 2000]
+            for s in range(0, len(raw), 1000):
+                part = raw[s : s + 1000]
                 m = np.frombuffer(b"".join(part), np.float32).reshape(-1, dim)
-                yield _routed(ids[s : s + 2000], placed.value.cells(m), part, placed.value.probed(m, probes, reach), placed.value)
+                yield _routed(ids[s : s + 1000], placed.value.cells(m), part, placed.value.probed(m, probes, reach), placed.value)
 
     least = math.ceil(round(min_score * 1e9, 3))
 
