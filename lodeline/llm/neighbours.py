@@ -8,6 +8,9 @@ For all vectors at once: cells that lie together form groups of about ``GROUP``
 cell, as entry and query, and as a query to each other group of which it walks a cell. A group's cells are scored as blocks of a
 matrix product. A cell with more entries than ``HOT`` is spread over several groups of its own, all of which its queries visit,
 so nothing is cut. Vectors of equal content are one row of the products, and travel as one row for each batch, whatever their number.
+
+The walk is made for neighbours of score 0.9 or more. ``knn_lists`` gives the k nearest of all vectors: those whose k-th one lies beyond the walk's
+reach are scored against every vector, from the score that the index found for them.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ GROUP = 24576
 HOT = 32768
 #: Elements of a block of scores.
 BLOCK = 1 << 20
+#: Bytes of vectors that are scored against all others in one pass.
+SLICE_BYTES = 16 << 20
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -283,18 +288,25 @@ def knn(vectors: DataFrame, k: int = 5, min_score: float = 0.0, dim: int = 128,
 
     vectors: ``vec_id, embedding`` as given by ``usable`` (ids unique, vectors finite and not zero). Other columns don't matter. No
     vectors, or one, give no rows; copies are each other's neighbours. The search is approximate: pairs of the score that ``reach``
-    stands for are found nearly always, far ones (of vectors that resemble nothing) with the effort ``probes``.
+    stands for are found nearly always, far ones (of vectors that resemble nothing) with the effort ``probes``; ``knn_lists`` has all.
     Driver: it holds the sample and a count for each cell, at most MOST_CENTROIDS squared."""
-    spark = vectors.sparkSession
-    v = vectors.select("vec_id", "embedding")
-    out = "vec_id bigint, neighbour bigint, rk int, score double"
+    return _walked(_packed(vectors, dim), k, min_score, dim, probes, reach, group, hot)
+
+
+def _packed(vectors: DataFrame, dim: int) -> DataFrame:
+    """``vec_id, v``: the elements as bytes of floats."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             m = np.ascontiguousarray(as_matrix(b.column(1), dim), np.float32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in m], pa.binary())], ["vec_id", "v"])
 
-    packed = materialize(v.mapInArrow(pack, "vec_id bigint, v binary"), "vectors")
+    return materialize(vectors.select("vec_id", "embedding").mapInArrow(pack, "vec_id bigint, v binary"), "vectors")
+
+
+def _walked(packed: DataFrame, k: int, min_score: float, dim: int, probes: int, reach: float, group: int, hot: int) -> DataFrame:
+    spark = packed.sparkSession
+    out = "vec_id bigint, neighbour bigint, rk int, score double"
     n = packed.count()
     if n < 2:
         return spark.createDataFrame([], out)
@@ -337,6 +349,76 @@ def knn(vectors: DataFrame, k: int = 5, min_score: float = 0.0, dim: int = 128,
     return best.select("vec_id", "neighbour", "rk", (F.col("s") / 1e9).alias("score"))
 
 
+def knn_lists(vectors: DataFrame, k: int = 5, dim: int = 128, probes: int = PROBES, reach: float = REACH, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """``vec_id, neighbour, rk, score`` as ``knn``, of each vector the k nearest others whatever their scores: by the index where it finds k within ``reach``;
+    the other vectors are scored against all, which is exact, and takes time in proportion to their number times that of all vectors."""
+    packed = _packed(vectors, dim)
+    first = materialize(_walked(packed, k, 0.0, dim, probes, reach, GROUP, HOT), "walked")
+    last = first.where(F.col("rk") == k).select("vec_id", F.col("score").alias("last"))
+    sure = last.where(F.col("last") >= 1 - reach / 4).select("vec_id")
+    loose = materialize(packed.join(sure, "vec_id", "left_anti").join(last, "vec_id", "left").select("vec_id", "v", F.coalesce("last", F.lit(-1.0)).alias("last")), "loose")
+    out = first.join(sure, "vec_id").select("vec_id", "neighbour", "rk", "score")
+    parts = math.ceil(loose.count() * dim * 4 / slice_bytes)
+    for p in range(parts):
+        t = loose.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == p).toArrow()
+        if t.num_rows:
+            out = out.union(materialize(_against_all(packed, t["vec_id"].to_numpy(), b"".join(t["v"].to_pylist()), t["last"].to_numpy(), k, dim), "lists"))
+    return out
+
+
+def _against_all(packed: DataFrame, ids: np.ndarray, raw: bytes, last: np.ndarray, k: int, dim: int) -> DataFrame:
+    """The k best of all vectors for each query. last: a score that the k-th best reaches at least."""
+    shared = packed.sparkSession.sparkContext.broadcast((ids, raw, last))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, raw, last = shared.value
+        q = unit(np.frombuffer(raw, np.float32).reshape(-1, dim)).astype(np.float32)
+        best = [Best(ids[s : s + 512], np.frombuffer(raw, np.float32).reshape(-1, dim)[s : s + 512], last[s : s + 512], k) for s in range(0, len(ids), 512)]
+        for b in batches:
+            own = b.column(0).to_numpy()
+            x = np.frombuffer(b"".join(b.column(1).to_pylist()), np.float32).reshape(-1, dim)
+            for s in range(0, len(x), 2048):
+                part = unit(x[s : s + 2048])
+                small = np.ascontiguousarray(part.astype(np.float32).T)
+                for i, one in enumerate(best):
+                    one.add(q[i * 512 : (i + 1) * 512] @ small, part, own[s : s + 2048])
+        for one in best:
+            yield pa.RecordBatch.from_arrays([pa.array(one.ids[one.q]), pa.array(one.e), pa.array(one.s)], ["vec_id", "neighbour", "s"])
+
+    w = Window.partitionBy("vec_id").orderBy(F.desc("s"), "neighbour")
+    local = packed.mapInArrow(run, "vec_id bigint, neighbour bigint, s bigint")
+    return local.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k).select("vec_id", "neighbour", "rk", (F.col("s") / 1e9).alias("score"))
+
+
+class Best:
+    """The k best entries of each query, by score x 1e9 rounded, then smaller id. Products in single precision choose what is scored in double."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, last: np.ndarray, k: int):
+        self.ids, self.x, self.k = ids, unit(v), k
+        self.least = 2 * last - 1 - 4e-6
+        self.q, self.e, self.s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, cos: np.ndarray, x: np.ndarray, own: np.ndarray) -> None:
+        least = self.least.astype(np.float32)
+        if (least < -1).any() and cos.shape[1] > self.k + 1:  # itself may be among them
+            least = np.maximum(least, np.partition(cos, -self.k - 1, axis=1)[:, -self.k - 1] - np.float32(4e-6))
+        at = np.flatnonzero(cos >= least[:, None])
+        if not len(at):
+            return
+        q, e = np.divmod(at, cos.shape[1])
+        other = self.ids[q] != own[e]
+        q, e = q[other], e[other]
+        s = np.concatenate([np.zeros(0, np.int64), *(np.rint((np.einsum("ij,ij->i", self.x[q[i : i + 65536]], x[e[i : i + 65536]]) + 1) * 5e8).astype(np.int64) for i in range(0, len(q), 65536))])
+        q, e, s = np.concatenate([self.q, q]), np.concatenate([self.e, own[e]]), np.concatenate([self.s, s])
+        o = np.lexsort((e, -s, q))
+        q, e, s = q[o], e[o], s[o]
+        rank = np.arange(len(q)) - np.searchsorted(q, q, "left")
+        keep = rank < self.k
+        self.q, self.e, self.s = q[keep], e[keep], s[keep]
+        full = self.q[rank[keep] == self.k - 1]
+        self.least[full] = np.maximum(self.least[full], self.s[rank[keep] == self.k - 1] / 5e8 - 1 - 4e-6)
+
+
 def similar_pairs(neighbours: DataFrame) -> DataFrame:
     """``vec_a, vec_b``, vec_a < vec_b: each pair of which one is a neighbour of the other."""
     return neighbours.select(F.least("vec_id", "neighbour").alias("vec_a"), F.greatest("vec_id", "neighbour").alias("vec_b")).distinct()

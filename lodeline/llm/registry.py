@@ -42,6 +42,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.similar_pairs(neighbours.knn(usable(read(spark, d, "vectors")), k=5, min_score=0.90))
 
 
+def p2_knn(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.knn_lists(usable(read(spark, d, "vectors")), k=5)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n(topn.valid_items(read(spark, d, "search_results")), 10).select("qid", "vec_id")
 
@@ -78,6 +82,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_subset": p1_subset,
     "p2_found": p2_found,
+    "p2_knn": p2_knn,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_clusters": p5_clusters,

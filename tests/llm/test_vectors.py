@@ -109,6 +109,23 @@ def test_neighbour_rows(spark):
     assert all([n for n, _ in v] == list(range(1, len(v) + 1)) and [b for _, b in v] == sorted((b for _, b in v), reverse=True) for v in by.values())
 
 
+@pytest.mark.parametrize("slice_bytes", [16 << 20, 100 * 512])
+def test_lists_of_all_vectors(spark, slice_bytes):
+    """Also of those that resemble nothing: most of their neighbours score below 0.7."""
+    x = planted(7, noise=1500)
+    got = {}
+    for r in neighbours.knn_lists(frame(spark, x), 5, slice_bytes=slice_bytes).collect():
+        got.setdefault((r.vec_id - 1) // 3, []).append((r.rk, (r.neighbour - 1) // 3, r.score))
+    s = scores(x).round(9)
+    np.fill_diagonal(s, -1)
+    true = [np.lexsort((np.arange(len(x)), -r))[:5] for r in s]
+    assert len(got) == len(x) and all(sorted(n for n, _, _ in g) == [1, 2, 3, 4, 5] and len({j for _, j, _ in g}) == 5 for g in got.values())
+    assert all(abs(s[i, j] - c) < 2e-9 for i, g in got.items() for _, j, c in g)
+    kth = np.array([s[i, t[-1]] for i, t in enumerate(true)])
+    hit = np.array([sum(c >= kth[i] - 2e-9 for _, _, c in got[i]) for i in range(len(x))])
+    assert hit.sum() >= 0.98 * 5 * len(x) and (hit[kth < 0.88] == 5).all()
+
+
 def test_few_or_no_rows(spark, books):
     none = frame(spark, planted(0)).limit(0)
     assert neighbours.knn(none, 5).count() == clusters.tight_clusters(none).count() == subset.crowds(none, books).count() == subset.varied_subset(none, books, 5).count() == 0
