@@ -7,8 +7,8 @@ weighted by the vectors nearest to them, are reduced to k on the driver. Each pa
 tasks and adds up k sums.
 
 Tight clusters (every two members of at least a given score) lie within one k-means cell or are cut by its border. Cells are resolved
-into groups exactly; a vector near a border also visits the other cell, as bytes, and where it meets a group it belongs to, the groups
-are one. Vectors of equal content travel as one row for each batch; only their ids are many.
+into the connected parts of its near pairs; a vector near a border also visits the other cell, as bytes, and where it is near to a row of a part,
+the two parts are brought together. The sets of each part, joined ones too, are found pair by pair. Vectors of equal content travel as one row for each batch; only their ids are many.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeline.functions.kmeans import lloyd, seed_far, sq_dist
-from lodeline.llm.cliques import far_pairs, leaders, maximal_sets
+from lodeline.llm.cliques import components, overlapping, set_members
 from lodeline.llm.neighbours import as_matrix, distinct, unit
 from lodeline.plans.runtime import materialize
 
@@ -240,8 +240,8 @@ def tight_clusters(vectors: DataFrame, k: int = 100, min_score: float = 0.90, le
     """``cluster_id, vec_id``: the sets of at least ``least`` vectors of which every two score at least ``min_score``, and which no further vector can
     join; cluster_id is the smallest vec_id of the set.
 
-    vectors: ``vec_id, embedding`` as given by ``usable``. k is raised to sqrt(n) / 5 for large n. Exact where the sets are apart from each other (no vector in
-    two); of overlapping ones, those among a leader's neighbours are given. No vectors give no rows; copies are members like others."""
+    vectors: ``vec_id, embedding`` as given by ``usable``. k is raised to sqrt(n) / 5 for large n. Exact within cells, and across
+    borders for vectors within ``margin``; sets that overlap are all given, those of one smallest id as one. A connected part is held by one task. No vectors give no rows; copies are members like others."""
     spark = vectors.sparkSession
     packed = pack(vectors, dim)
     n = packed.count()
@@ -280,10 +280,18 @@ def _groups(spark: SparkSession, packed: DataFrame, model: Model, min_score: flo
                 yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(at_home), pa.array(who, pa.binary()), pa.array(what, pa.binary())], ["cell", "home", "ids", "v"])
 
     def resolve(t: pa.Table) -> pa.Table:
-        """For each id at home its group (named by the smallest id in it), and for each visitor the groups it meets here."""
+        """``grp`` is a connected part, named by the smallest id in it. For each id at home its part, with the cluster where the part is one (kind 0); for each
+        visitor the parts it meets here (1); for parts that are no cliques, the clusters of their ids (2)."""
         home, who, raw = t["home"].to_numpy(), t["ids"].to_pylist(), t["v"].to_pylist()
         own = np.flatnonzero(home)
-        out_id, out_grp, out_home = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        out_id, out_grp, out_cluster, out_kind = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+
+        def put(got: np.ndarray, grp: np.ndarray | int, cluster: int, kind: int) -> None:
+            out_id.append(got)
+            out_grp.append(np.broadcast_to(grp, got.shape).astype(np.int64))
+            out_cluster.append(np.full(len(got), cluster, np.int64))
+            out_kind.append(np.full(len(got), kind, np.int32))
+
         if len(own):
             code, names = pd.factorize(np.array([raw[i] for i in own], dtype=object))
             x = unit(np.frombuffer(b"".join(names), np.float32).reshape(-1, dim))
@@ -298,35 +306,49 @@ def _groups(spark: SparkSession, packed: DataFrame, model: Model, min_score: flo
             content = place[content]
             by = np.argsort(content, kind="stable")
             ids, begin = ids[by], np.searchsorted(content[by], np.arange(len(o) + 1))
-            group, lead = leaders(x, cos)
-            o = np.argsort(group, kind="stable")
-            bounds = np.append(np.searchsorted(group[o], np.arange(len(lead))), len(o))
-            for g in range(len(lead)):
-                m = o[bounds[g] : bounds[g + 1]]
-                for kept in maximal_sets(len(m), far_pairs(x[m], cos) if len(m) > 1 else np.zeros((0, 2), np.int64)):
-                    got = np.concatenate([ids[begin[c] : begin[c + 1]] for c in m[kept]])
-                    out_id.append(got)
-                    out_grp.append(np.full(len(got), first[m[kept]].min()))
-                    out_home.append(np.ones(len(got), bool))
+            n = np.diff(begin)
+
+            def members_of(rows: np.ndarray) -> np.ndarray:
+                return np.concatenate([ids[begin[c] : begin[c + 1]] for c in rows])
+
+            of = np.empty(len(x), np.int64)  # the part of each content, by its smallest id
+            for rows, clique in components(x, cos):
+                of[rows] = first[rows[0]]
+                if clique and n[rows].sum() >= least:
+                    put(members_of(rows), first[rows[0]], first[rows[0]], 0)
+                else:
+                    put(members_of(rows), first[rows[0]], -1, 0)
+                    if n[rows].sum() >= least:
+                        for c, m in overlapping(x[rows] @ x[rows].T >= cos, n[rows], least):
+                            put(members_of(rows[m]), first[rows[0]], first[rows[c]], 2)
             guests = np.flatnonzero(~home)
             for s in range(0, len(guests), 1024):
                 part = guests[s : s + 1024]
                 y = unit(np.frombuffer(b"".join([raw[i] for i in part]), np.int8).reshape(-1, dim))
-                i, g = np.nonzero(y @ x[lead].T >= cos)
-                out_id.append(np.array([np.frombuffer(who[part[j]], np.int64)[0] for j in i], np.int64))
-                out_grp.append(first[lead[g]])
-                out_home.append(np.zeros(len(i), bool))
-        return pa.table({"vec_id": np.concatenate(out_id), "grp": np.concatenate(out_grp), "home": np.concatenate(out_home)})
+                i, j = np.nonzero(y @ x.T >= cos - 0.001)  # bytes: the pairs are scored again
+                met = np.unique(np.stack([i, of[j]], 1), axis=0)
+                put(np.array([np.frombuffer(who[part[j]], np.int64)[0] for j in met[:, 0]], np.int64), met[:, 1], -1, 1)
+        return pa.table({"vec_id": np.concatenate(out_id), "grp": np.concatenate(out_grp), "cluster": np.concatenate(out_cluster), "kind": np.concatenate(out_kind)})
 
     routed = packed.mapInArrow(route, "cell int, home boolean, ids binary, v binary")
-    met = materialize(routed.groupBy("cell").applyInArrow(resolve, "vec_id bigint, grp bigint, home boolean"), "groups")
-    members, guests = met.where("home").select("vec_id", "grp"), met.where("not home").select("vec_id", F.col("grp").alias("other"))
-    # Groups that a visitor joins with its own: the smaller number stands for both.
+    met = materialize(routed.groupBy("cell").applyInArrow(resolve, "vec_id bigint, grp bigint, cluster bigint, kind int"), "groups")
+    members, guests = met.where("kind = 0"), met.where("kind = 1").select("vec_id", F.col("grp").alias("other"))
+    # Parts that a visitor brings together: the smaller number stands for both.
     links = members.join(guests, "vec_id").where("grp <> other").select(F.least("grp", "other").alias("a"), F.greatest("grp", "other").alias("b")).distinct()
-    names = merged_names(materialize(links, "links"))
-    final = members.join(names, "grp", "left").select("vec_id", F.coalesce("name", "grp").alias("cluster_id"))
-    big = final.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= least).select("cluster_id")
-    return final.join(big, "cluster_id").select("cluster_id", "vec_id").distinct()
+    names = materialize(merged_names(materialize(links, "links")), "names")
+    alone = met.where("cluster >= 0 and kind <> 1").join(names, "grp", "left_anti").select(F.col("cluster").alias("cluster_id"), "vec_id")
+    joined = packed.join(members.join(names, "grp").select("vec_id", "name"), "vec_id").select("name", "vec_id", "v")
+
+    def check(t: pa.Table) -> pa.Table:
+        names, ids = distinct(t["vec_id"].to_numpy(), t["v"].to_pylist())
+        x = unit(np.frombuffer(b"".join(names), np.float32).reshape(-1, dim))
+        first = np.array([i.min() for i in ids])
+        o = np.argsort(first, kind="stable")
+        x, first, ids = x[o], first[o], [ids[i] for i in o]
+        got = [(first[c], np.concatenate([ids[r] for r in rows])) for c, rows in set_members(x, np.array([len(i) for i in ids]), cos, least)]
+        return pa.table({"cluster_id": np.repeat(np.array([c for c, _ in got], np.int64), [len(i) for _, i in got]), "vec_id": np.concatenate([np.zeros(0, np.int64), *(i for _, i in got)])})
+
+    return alone.union(joined.groupBy("name").applyInArrow(check, "cluster_id bigint, vec_id bigint")).distinct()
 
 
 def merged_names(links: DataFrame) -> DataFrame:

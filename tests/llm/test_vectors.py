@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from lodeline.llm import clusters, neighbours, subset
-from lodeline.llm.cliques import leaders, maximal_sets
+from lodeline.llm.cliques import leaders, maximal_sets, overlapping
 
 DIM = 128
 SCHEMA = "vec_id bigint, embedding array<float>"
@@ -169,3 +169,62 @@ def test_configured_lists(spark):
     rows = [(1, 64, "2023-01-01"), (2, 100, "2023-02-01"), (3, None, "2023-03-01"), (3, None, "2023-03-01")]
     d = spark.createDataFrame(rows, "config_id int, nlist int, created_at string")
     assert clusters.nlist_of(d) == 100 and clusters.nlist_of(d.limit(0), 7) == 7
+
+
+def with_cosines(gram, noise=120, seed=0):
+    """Vectors of the given cosines, first, and noise."""
+    rng = np.random.default_rng(seed)
+    turn = np.linalg.qr(rng.standard_normal((DIM, DIM)))[0]
+    x = np.zeros((len(gram), DIM))
+    x[:, : len(gram)] = np.linalg.cholesky(gram)
+    return np.vstack([x @ turn, rng.standard_normal((noise, DIM))]).astype(np.float32)
+
+
+def even(n, cos):
+    return np.full((n, n), cos) + (1 - cos) * np.eye(n)
+
+
+def maximal_members(near, least):
+    """(first row, row) of all maximal sets, by plain recursion."""
+    out, nb = set(), [set(np.flatnonzero(r).tolist()) - {i} for i, r in enumerate(near)]
+
+    def go(taken, may, done):
+        if not may and not done and len(taken) >= least:
+            out.update((min(taken) * 3 + 1, v * 3 + 1) for v in taken)
+        for v in sorted(may):
+            go(taken | {v}, may & nb[v], done & nb[v])
+            may, done = may - {v}, done | {v}
+
+    go(set(), set(range(len(near))), set())
+    return out
+
+
+def bordered(n, inside, near, far, of):
+    """Row 0 is near to ``of`` of the n others, which are a set."""
+    g = even(n + 1, inside)
+    g[0, 1 : of + 1] = g[1 : of + 1, 0] = near
+    g[0, of + 1 :] = g[of + 1 :, 0] = far
+    return g
+
+
+@pytest.mark.parametrize("k", [1, 12])
+@pytest.mark.parametrize("case", ["border", "pair"])
+def test_clusters_that_touch_others(spark, case, k):
+    """A vector outside that leads some of the members, and four vectors without a set of five."""
+    g = bordered(5, 0.9, 0.82, 0.78, 3) if case == "border" else even(4, 0.85)
+    if case == "pair":
+        g[1, 2] = g[2, 1] = 0.78
+    x = with_cosines(g)
+    want = maximal_members(scores(x).round(9) >= 0.90, 5)
+    assert len(want) == (5 if case == "border" else 0)
+    assert set(pairs_of(clusters.tight_clusters(frame(spark, x), k))) == want
+
+
+def test_members_of_overlapping_sets():
+    rng = np.random.default_rng(0)
+    for turn in range(60):
+        n, p, least = int(rng.integers(2, 10)), rng.random(), int(rng.integers(1, 6))
+        near = rng.random((n, n)) < p
+        near = near | near.T | np.eye(n, dtype=bool)
+        got = {(c * 3 + 1, v * 3 + 1) for c, m in overlapping(near, np.ones(n, int), least) for v in m}
+        assert got == maximal_members(near, least), turn
