@@ -228,3 +228,9 @@ def test_members_of_overlapping_sets():
         near = near | near.T | np.eye(n, dtype=bool)
         got = {(c * 3 + 1, v * 3 + 1) for c, m in overlapping(near, np.ones(n, int), least) for v in m}
         assert got == maximal_members(near, least), turn
+
+
+def test_crowd_beside_a_vector(spark, books):
+    """The vector has the smallest id and is near to 15 of the 20 members."""
+    x = with_cosines(bordered(20, 0.985, 0.972, 0.968, 15))
+    assert pairs_of(subset.crowds(frame(spark, x), books)) == [(4, i * 3 + 1) for i in range(1, 21)]
