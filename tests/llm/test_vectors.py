@@ -234,3 +234,16 @@ def test_crowd_beside_a_vector(spark, books):
     """The vector has the smallest id and is near to 15 of the 20 members."""
     x = with_cosines(bordered(20, 0.985, 0.972, 0.968, 15))
     assert pairs_of(subset.crowds(frame(spark, x), books)) == [(4, i * 3 + 1) for i in range(1, 21)]
+
+
+def test_crowds_of_many_sets(spark, books):
+    """Seven far pairs give 128 maximal sets of 23 vectors."""
+    g = even(30, 0.98)
+    for i in range(7):
+        g[i, i + 7] = g[i + 7, i] = 0.968
+    x = with_cosines(g)
+    sets = [{*pick, *range(14, 30)} for pick in itertools.product(*((i, i + 7) for i in range(7)))]
+    want = {(min(s) * 3 + 1, v * 3 + 1) for s in sets for v in s}
+    assert {v for _, v in want} == {i * 3 + 1 for i in range(30)}
+    assert set(pairs_of(subset.crowds(frame(spark, x), books))) == want
+    assert set(pairs_of(clusters.tight_clusters(frame(spark, x), 3, min_score=0.985, least=20))) == want
