@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from itertools import product
-
 import numpy as np
 
-#: Maximal sets of a group that is no clique are listed while there are at most so many; beyond that one is made greedily.
-MOST_SETS = 64
 BLOCK = 1024
 
 
@@ -43,72 +39,6 @@ def leaders(x: np.ndarray, cos: float) -> tuple[np.ndarray, np.ndarray]:
     return group, np.array(lead, np.int64)
 
 
-def far_pairs(x: np.ndarray, cos: float) -> np.ndarray:
-    """Pairs (i < j) of rows below ``cos``."""
-    out = []
-    step = max(1, (1 << 22) // max(1, len(x)))
-    for s in range(0, len(x), step):
-        i, j = np.nonzero(x[s : s + step] @ x[s:].T < cos)
-        keep = i < j
-        out.append(np.stack([i[keep] + s, j[keep] + s], 1))
-    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-
-
-def maximal_sets(n: int, far: np.ndarray) -> list[np.ndarray]:
-    """The maximal subsets of range(n) without a far pair. Far pairs are few as a rule: each connected part of them is worked out for
-    itself. Where there are more than MOST_SETS, one set: rows in order, each taken if it is far from none taken before."""
-    if not len(far):
-        return [np.arange(n)]
-    apart: dict[int, set[int]] = {}
-    for a, b in far.tolist():
-        apart.setdefault(a, set()).add(b)
-        apart.setdefault(b, set()).add(a)
-    parts, seen = [], set()
-    for v in sorted(apart):
-        if v not in seen:
-            part, todo = [], [v]
-            seen.add(v)
-            while todo:
-                u = todo.pop()
-                part.append(u)
-                for w in apart[u] - seen:
-                    seen.add(w)
-                    todo.append(w)
-            parts.append(sorted(part))
-    choices, total = [], 1
-    for part in parts:
-        sets = _independent(part, apart, MOST_SETS // total + 1) if len(part) <= 32 else None
-        total *= len(sets) if sets else MOST_SETS + 1
-        if total > MOST_SETS:
-            taken: list[int] = []
-            for v in range(n):
-                if not apart.get(v, set()).intersection(taken):
-                    taken.append(v)
-            return [np.array(taken)]
-        choices.append(sets)
-    base = np.array([v for v in range(n) if v not in apart], np.int64)
-    return [np.sort(np.concatenate([base, *(np.array(c, np.int64) for c in pick)])) for pick in product(*choices)]
-
-
-def _independent(part: list[int], apart: dict[int, set[int]], most: int) -> list[list[int]] | None:
-    """Maximal sets of ``part`` of which no two are apart; None if there are more than ``most``."""
-    out: list[list[int]] = []
-
-    def go(taken: list[int], may: set[int], done: set[int]) -> bool:
-        if not may:
-            if not done:
-                out.append(sorted(taken))
-            return len(out) <= most
-        pivot = max(may | done, key=lambda v: len(may - apart[v] - {v}))
-        for v in sorted(may - (may - apart[pivot] - {pivot})):
-            if not go([*taken, v], {u for u in may - {v} if u not in apart[v]}, {u for u in done if u not in apart[v]}):
-                return False
-            may, done = may - {v}, done | {v}
-        return True
-
-    return out if go([], set(part), set()) else None
-
-
 def components(x: np.ndarray, cos: float) -> list[tuple[np.ndarray, bool]]:
     """(rows, whether every two of them are near) of the connected parts of the graph of pairs of at least ``cos``. Rows are in order, parts by
     their first row."""

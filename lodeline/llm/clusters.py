@@ -6,9 +6,7 @@ the seeds so far), u a hash of its id, and those of the smallest keys become see
 weighted by the vectors nearest to them, are reduced to k on the driver. Each pass of Lloyd's algorithm sums in the
 tasks and adds up k sums.
 
-Tight clusters (every two members of at least a given score) lie within one k-means cell or are cut by its border. Cells are resolved
-into the connected parts of its near pairs; a vector near a border also visits the other cell, as bytes, and where it is near to a row of a part,
-the two parts are brought together. The sets of each part, joined ones too, are found pair by pair. Vectors of equal content travel as one row for each batch; only their ids are many.
+Tight clusters (every two members of at least a given score) are the exact sets of ``mutual``, with the centroids as its points.
 """
 
 from __future__ import annotations
@@ -18,21 +16,19 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeline.functions.kmeans import lloyd, seed_far, sq_dist
-from lodeline.llm.cliques import components, overlapping, set_members
-from lodeline.llm.neighbours import as_matrix, distinct, unit
+from lodeline.llm import mutual
+from lodeline.llm.mutual import pack
+from lodeline.llm.neighbours import as_matrix, unit
 from lodeline.plans.runtime import materialize
 
 #: Hashed dimensions.
 FEATURES = 128
 SEED_PASSES = 4
-#: Rows of a cell beyond which it is cut for the exact groups.
-HOT = 32768
 #: How near to a border (in the units of the features) a vector visits the other side. Of a cut set, the member nearest to the border is mostly nearer.
 MARGIN = 0.05
 _SUB = 2000
@@ -68,28 +64,19 @@ def nlist_of(config: DataFrame, default: int = 100) -> int:
     return r[0][0] if r else default
 
 
-class Model:
-    def __init__(self, p: np.ndarray, centroids: np.ndarray, cut: np.ndarray | None = None):
+class Model(mutual.Cells):
+    def __init__(self, p: np.ndarray, centroids: np.ndarray, cut: np.ndarray | None = None, margin: float = MARGIN):
         """cut: the centroids that divide what was one cell."""
-        self.p, self.c = p, centroids
+        super().__init__(centroids)
+        self.p, self.margin = p, margin
         self.cut = np.zeros(len(centroids), bool) if cut is None else cut
 
     def features(self, v: np.ndarray) -> np.ndarray:
         return _features(v, self.p)
 
-    def distances(self, v: np.ndarray) -> np.ndarray:
-        return sq_dist(self.features(v), self.c.astype(np.float32))
-
-
-def pack(vectors: DataFrame, dim: int) -> DataFrame:
-    """``vec_id, v``: the floats as bytes (-0.0 as 0.0), as a table in the shared folder."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            m = np.ascontiguousarray(as_matrix(b.column(1), dim), np.float32) + np.float32(0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in m], pa.binary())], ["vec_id", "v"])
-
-    return materialize(vectors.select("vec_id", "embedding").mapInArrow(run, "vec_id bigint, v binary"), "vectors")
+    def slack(self) -> np.ndarray:
+        wider = 1 + 3 * (self.cut[:, None] | self.cut)  # a cut cell's borders run through its sets
+        return (2 * self.margin * wider * np.sqrt(sq_dist(self.points, self.points))).astype(np.float32)
 
 
 def _slices(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -160,7 +147,7 @@ def fit(packed: DataFrame, n: int, k: int, dim: int, iterations: int = 8, tolera
 
         def near(v: np.ndarray, model: Model = model) -> tuple[np.ndarray, np.ndarray]:
             y = model.features(v)
-            return sq_dist(y, model.c.astype(np.float32)).argmin(1), np.hstack([y.astype(np.float64), np.ones((len(y), 1))])
+            return sq_dist(y, model.points.astype(np.float32)).argmin(1), np.hstack([y.astype(np.float64), np.ones((len(y), 1))])
 
         s = _sum_rows(packed, dim, len(c), features + 1, near)
         new = np.where(s[:, -1:] > 0, s[:, :-1] / np.maximum(s[:, -1:], 1), c)
@@ -203,25 +190,24 @@ def describe(packed: DataFrame, model: Model, dim: int, typical: int = 5) -> Dat
     return top.join(a.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "cluster").select("cluster", "size", "rk", "vec_id", "distance")
 
 
-def _cut_hot(packed: DataFrame, model: Model, n: int, dim: int, hot: int) -> Model:
-    """The model for routing: centroids of cells above ``hot`` give way to several, fitted on a bounded sample of their rows."""
-    c, cut = model.c, model.cut
-    for _ in range(3):
-        m = Model(model.p, c)
-        size = _sum_rows(packed, dim, len(c), 1, lambda v, m=m: (m.distances(v).argmin(1), np.ones((len(v), 1))))[:, 0]
-        big = np.flatnonzero(size > hot)
-        if not len(big):
+def _cut_hot(packed: DataFrame, model: Model, dim: int, hot: int) -> tuple[Model, dict[int, int]]:
+    """The model for routing, and the sizes of its cells above ``hot``: their centroids give way to several, fitted on a bounded sample of their rows, up to
+    three times. Cells that this can't divide (of rows that are all alike) stay hot, and are met in blocks."""
+    for turn in range(4):
+        size = mutual.hot_cells(packed, model, dim, hot)
+        if not size or turn == 3:
             break
-        part = min(1.0, 4096 * len(big) / size[big].sum())
+        c, cut, big = model.points, model.cut, np.array(sorted(size))
+        part = min(1.0, 4096 * len(big) / sum(size.values()))
         sample = packed.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(part * (1 << 30)) + 1).select("v")
 
-        def only(batches: Iterator[pa.RecordBatch], m: Model = m, big: np.ndarray = big) -> Iterator[pa.RecordBatch]:
+        def only(batches: Iterator[pa.RecordBatch], m: Model = model, big: np.ndarray = big) -> Iterator[pa.RecordBatch]:
             for b, v in _slices(batches, dim):
                 a = m.distances(v).argmin(1)
                 yield pa.RecordBatch.from_arrays([pa.array(a[i := np.isin(a, big)], pa.int32()), b.column("v").take(pa.array(np.flatnonzero(i)))], ["c", "v"])
 
         t = sample.mapInArrow(only, "c int, v binary").limit(8192 * len(big)).toArrow()
-        at, y = t["c"].to_numpy(), m.features(as_matrix(t["v"].combine_chunks(), dim)).astype(np.float64) if t.num_rows else np.zeros((0, c.shape[1]))
+        at, y = t["c"].to_numpy(), model.features(as_matrix(t["v"].combine_chunks(), dim)).astype(np.float64) if t.num_rows else np.zeros((0, c.shape[1]))
         rest = np.setdiff1d(np.arange(len(c)), big)
         new, kept = [c[rest]], [cut[rest]]
         for b in big:
@@ -232,134 +218,22 @@ def _cut_hot(packed: DataFrame, model: Model, n: int, dim: int, hot: int) -> Mod
             kept.append(np.full(len(new[-1]), parts > 1 or cut[b]))
         if sum(map(len, new)) == len(c):
             break
-        c, cut = np.vstack(new), np.concatenate(kept)
-    return Model(model.p, c, cut)
+        model = Model(model.p, np.vstack(new), np.concatenate(kept), model.margin)
+    return model, size
 
 
-def tight_clusters(vectors: DataFrame, k: int = 100, min_score: float = 0.90, least: int = 5, dim: int = 128, margin: float = MARGIN, hot: int = HOT) -> DataFrame:
+def tight_clusters(vectors: DataFrame, k: int = 100, min_score: float = 0.90, least: int = 5, dim: int = 128, margin: float = MARGIN, hot: int = mutual.HOT) -> DataFrame:
     """``cluster_id, vec_id``: the sets of at least ``least`` vectors of which every two score at least ``min_score``, and which no further vector can
     join; cluster_id is the smallest vec_id of the set.
 
     vectors: ``vec_id, embedding`` as given by ``usable``. k is raised to sqrt(n) / 5 for large n. Exact within cells, and across
-    borders for vectors within ``margin``; sets that overlap are all given, those of one smallest id as one. A connected part is held by one task. No vectors give no rows; copies are members like others."""
+    borders for vectors within ``margin`` (see ``mutual``). No vectors give no rows; copies are members like others."""
     spark = vectors.sparkSession
     packed = pack(vectors, dim)
     n = packed.count()
     if n < least:
         return spark.createDataFrame([], "cluster_id bigint, vec_id bigint")
     k = min(max(k, math.isqrt(n) // 5), n)
-    model = _cut_hot(packed, fit(packed, n, k, dim), n, dim, hot)
-    return _groups(spark, packed, model, min_score, least, dim, margin)
-
-
-def small(x: np.ndarray) -> np.ndarray:
-    """Unit vectors as bytes: scores differ by about 0.0003."""
-    return np.rint(x / np.abs(x).max(1, keepdims=True) * 127).astype(np.int8)
-
-
-def _groups(spark: SparkSession, packed: DataFrame, model: Model, min_score: float, least: int, dim: int, margin: float) -> DataFrame:
-    cos = 2 * min_score - 1 - 1e-9
-    shared = spark.sparkContext.broadcast(model)
-    between = np.sqrt(sq_dist(model.c, model.c))
-    wider = 1 + 3 * (model.cut[:, None] | model.cut)  # a cut cell's borders run through its sets
-    apart = spark.sparkContext.broadcast((2 * margin * wider * between).astype(np.float32))
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            all_raw, all_ids = distinct(b.column("vec_id").to_numpy(), b.column("v").to_pylist())
-            for s in range(0, len(all_raw), _SUB):
-                raw, ids = all_raw[s : s + _SUB], all_ids[s : s + _SUB]
-                v = np.frombuffer(b"".join(raw), np.float32).reshape(-1, dim)
-                d = shared.value.distances(v)
-                home = d.argmin(1)
-                row, cell = np.nonzero(d - d[np.arange(len(d)), home][:, None] <= apart.value[home])
-                at_home = cell == home[row]
-                tiny = small(unit(v))
-                who = [ids[r].tobytes() if own else ids[r].min().tobytes() for r, own in zip(row, at_home)]
-                what = [raw[r] if own else tiny[r].tobytes() for r, own in zip(row, at_home)]
-                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(at_home), pa.array(who, pa.binary()), pa.array(what, pa.binary())], ["cell", "home", "ids", "v"])
-
-    def resolve(t: pa.Table) -> pa.Table:
-        """``grp`` is a connected part, named by the smallest id in it. For each id at home its part, with the cluster where the part is one (kind 0); for each
-        visitor the parts it meets here (1); for parts that are no cliques, the clusters of their ids (2)."""
-        home, who, raw = t["home"].to_numpy(), t["ids"].to_pylist(), t["v"].to_pylist()
-        own = np.flatnonzero(home)
-        out_id, out_grp, out_cluster, out_kind = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-
-        def put(got: np.ndarray, grp: np.ndarray | int, cluster: int, kind: int) -> None:
-            out_id.append(got)
-            out_grp.append(np.broadcast_to(grp, got.shape).astype(np.int64))
-            out_cluster.append(np.full(len(got), cluster, np.int64))
-            out_kind.append(np.full(len(got), kind, np.int32))
-
-        if len(own):
-            code, names = pd.factorize(np.array([raw[i] for i in own], dtype=object))
-            x = unit(np.frombuffer(b"".join(names), np.float32).reshape(-1, dim))
-            ids = np.frombuffer(b"".join([who[i] for i in own]), np.int64)
-            content = np.repeat(code, [len(who[i]) // 8 for i in own])
-            first = np.full(len(names), np.iinfo(np.int64).max)
-            np.minimum.at(first, content, ids)
-            o = np.argsort(first, kind="stable")  # contents by their smallest id
-            x, first = x[o], first[o]
-            place = np.empty(len(o), np.int64)
-            place[o] = np.arange(len(o))
-            content = place[content]
-            by = np.argsort(content, kind="stable")
-            ids, begin = ids[by], np.searchsorted(content[by], np.arange(len(o) + 1))
-            n = np.diff(begin)
-
-            def members_of(rows: np.ndarray) -> np.ndarray:
-                return np.concatenate([ids[begin[c] : begin[c + 1]] for c in rows])
-
-            of = np.empty(len(x), np.int64)  # the part of each content, by its smallest id
-            for rows, clique in components(x, cos):
-                of[rows] = first[rows[0]]
-                if clique and n[rows].sum() >= least:
-                    put(members_of(rows), first[rows[0]], first[rows[0]], 0)
-                else:
-                    put(members_of(rows), first[rows[0]], -1, 0)
-                    if n[rows].sum() >= least:
-                        for c, m in overlapping(x[rows] @ x[rows].T >= cos, n[rows], least):
-                            put(members_of(rows[m]), first[rows[0]], first[rows[c]], 2)
-            guests = np.flatnonzero(~home)
-            for s in range(0, len(guests), 1024):
-                part = guests[s : s + 1024]
-                y = unit(np.frombuffer(b"".join([raw[i] for i in part]), np.int8).reshape(-1, dim))
-                i, j = np.nonzero(y @ x.T >= cos - 0.001)  # bytes: the pairs are scored again
-                met = np.unique(np.stack([i, of[j]], 1), axis=0)
-                put(np.array([np.frombuffer(who[part[j]], np.int64)[0] for j in met[:, 0]], np.int64), met[:, 1], -1, 1)
-        return pa.table({"vec_id": np.concatenate(out_id), "grp": np.concatenate(out_grp), "cluster": np.concatenate(out_cluster), "kind": np.concatenate(out_kind)})
-
-    routed = packed.mapInArrow(route, "cell int, home boolean, ids binary, v binary")
-    met = materialize(routed.groupBy("cell").applyInArrow(resolve, "vec_id bigint, grp bigint, cluster bigint, kind int"), "groups")
-    members, guests = met.where("kind = 0"), met.where("kind = 1").select("vec_id", F.col("grp").alias("other"))
-    # Parts that a visitor brings together: the smaller number stands for both.
-    links = members.join(guests, "vec_id").where("grp <> other").select(F.least("grp", "other").alias("a"), F.greatest("grp", "other").alias("b")).distinct()
-    names = materialize(merged_names(materialize(links, "links")), "names")
-    alone = met.where("cluster >= 0 and kind <> 1").join(names, "grp", "left_anti").select(F.col("cluster").alias("cluster_id"), "vec_id")
-    joined = packed.join(members.join(names, "grp").select("vec_id", "name"), "vec_id").select("name", "vec_id", "v")
-
-    def check(t: pa.Table) -> pa.Table:
-        names, ids = distinct(t["vec_id"].to_numpy(), t["v"].to_pylist())
-        x = unit(np.frombuffer(b"".join(names), np.float32).reshape(-1, dim))
-        first = np.array([i.min() for i in ids])
-        o = np.argsort(first, kind="stable")
-        x, first, ids = x[o], first[o], [ids[i] for i in o]
-        got = [(first[c], np.concatenate([ids[r] for r in rows])) for c, rows in set_members(x, np.array([len(i) for i in ids]), cos, least)]
-        return pa.table({"cluster_id": np.repeat(np.array([c for c, _ in got], np.int64), [len(i) for _, i in got]), "vec_id": np.concatenate([np.zeros(0, np.int64), *(i for _, i in got)])})
-
-    return alone.union(joined.groupBy("name").applyInArrow(check, "cluster_id bigint, vec_id bigint")).distinct()
-
-
-def merged_names(links: DataFrame) -> DataFrame:
-    """``grp, name``: the smallest group that each linked group is connected to. links: ``a, b``."""
-    both = links.select(F.col("a").alias("grp"), F.col("b").alias("to")).union(links.select("b", "a"))
-    names = materialize(both.groupBy("grp").agg(F.min("to").alias("m")).select("grp", F.least("grp", "m").alias("name")), "names")
-    both = materialize(both, "both")
-    while True:
-        seen = both.join(names.select(F.col("grp").alias("to"), F.col("name").alias("other")), "to").groupBy("grp").agg(F.min("other").alias("other"))
-        new = names.join(seen, "grp", "left").select("grp", F.least("name", F.coalesce("other", "name")).alias("name"), "name")
-        new = materialize(new.toDF("grp", "name", "was"), "names")
-        names = new.select("grp", "name")
-        if new.where("name <> was").isEmpty():
-            return names
+    model = fit(packed, n, k, dim)
+    model, size = _cut_hot(packed, Model(model.p, model.points, margin=margin), dim, hot)
+    return mutual.mutual_sets(packed, model, min_score, least, dim, size, hot).withColumnRenamed("set_id", "cluster_id")

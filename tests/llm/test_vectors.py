@@ -3,8 +3,8 @@ import itertools
 import numpy as np
 import pytest
 
-from lodeline.llm import clusters, neighbours, subset
-from lodeline.llm.cliques import leaders, maximal_sets, overlapping
+from lodeline.llm import clusters, mutual, neighbours, subset
+from lodeline.llm.cliques import leaders, overlapping
 
 DIM = 128
 SCHEMA = "vec_id bigint, embedding array<float>"
@@ -77,7 +77,8 @@ def test_crowds(spark, books, seed):
     x = planted(seed)
     got = pairs_of(subset.crowds(frame(spark, x), books))
     want = brute_sets(x, 0.985, 20)
-    assert set(got) <= want and len(got) == len(set(got)) and len(set(got)) >= 0.97 * len(want)
+    assert got == sorted(want)
+    assert pairs_of(subset.crowds(frame(spark, x), books, cell=40, hot=60)) == got
 
 
 @pytest.mark.parametrize("seed", [0, 1])
@@ -142,8 +143,13 @@ def test_varied_subset(spark, books):
     assert len(got) == 120 == len({r.vec_id for r in got})
     cells = {r.cell for r in subset.varied_subset(d, books, 10**6).collect()}
     assert subset.varied_subset(d, books, 10**6).count() == len(x)
-    # each cell comes first with one record: copies hold at most their share of the ranks
-    assert len({r.cell for r in got}) == min(120, len(cells)) and max(r.rk for r in got) <= 1 + max(0, 120 - len(cells))
+    # by rank, then cell: of the last rank the cells that come first, of those before it all
+    ranks, last = {r.cell: 0 for r in got}, max(r.rk for r in got)
+    for r in got:
+        ranks[r.cell] = max(ranks[r.cell], r.rk)
+    assert len(ranks) <= len(cells) and all(sorted(r.rk for r in got if r.cell == c) == list(range(1, n + 1)) for c, n in ranks.items())
+    copies = {i * 3 + 1 for i in np.flatnonzero((x == x[np.unique(x, axis=0, return_inverse=True)[1].argmax()]).all(1))}
+    assert last < 40 and len({r.vec_id for r in got} & copies) <= last
     assert subset.varied_subset(d, books, 0).count() == 0
     assert subset.varied_subset(d, books.limit(0), 7).count() == 7
 
@@ -157,10 +163,7 @@ def test_describe(spark):
     assert sum(sizes.values()) == len(x) and all(r.rk <= 3 for r in rows)
 
 
-def test_sets_that_overlap():
-    assert [s.tolist() for s in maximal_sets(4, np.array([[1, 3]]))] in ([[0, 1, 2], [0, 2, 3]], [[0, 2, 3], [0, 1, 2]])
-    assert len(maximal_sets(40, np.array([[i, i + 20] for i in range(20)]))) == 1
-    assert [s.tolist() for s in maximal_sets(3, np.zeros((0, 2), int))] == [[0, 1, 2]]
+def test_leaders():
     g, lead = leaders(np.eye(3)[[0, 1, 0, 2]], 0.5)
     assert g.tolist() == [0, 1, 0, 2] and lead.tolist() == [0, 1, 3]
 
@@ -247,3 +250,55 @@ def test_crowds_of_many_sets(spark, books):
     assert {v for _, v in want} == {i * 3 + 1 for i in range(30)}
     assert set(pairs_of(subset.crowds(frame(spark, x), books))) == want
     assert set(pairs_of(clusters.tight_clusters(frame(spark, x), 3, min_score=0.985, least=20))) == want
+
+
+def blob(n, angle, seed):
+    """n distinct vectors around one direction."""
+    rng = np.random.default_rng(seed)
+    c = rng.standard_normal(DIM)
+    return c / np.linalg.norm(c) + np.tan(np.radians(angle)) * rng.standard_normal((n, DIM)) / np.sqrt(DIM)
+
+
+def test_clumps_and_shared_members(spark, books):
+    """24 vectors in two clumps, 10 degrees apart; and two crowds of 22 that share 12."""
+    g = np.block([[even(12, 0.9999), np.full((12, 12), 0.9848)], [np.full((12, 12), 0.9848), even(12, 0.9999)]])
+    assert pairs_of(subset.crowds(frame(spark, with_cosines(g)), books)) == [(1, i * 3 + 1) for i in range(24)]
+    g = even(32, 0.973)
+    g[:10, 22:] = g[22:, :10] = 0.968
+    want = {(1, i * 3 + 1) for i in range(22)} | {(31, i * 3 + 1) for i in range(10, 32)}
+    assert set(pairs_of(subset.crowds(frame(spark, with_cosines(g)), books))) == want
+
+
+def test_half_of_all_rows_in_one_place(spark, books):
+    """Distinct vectors that no point divides: blocks hold them, and no task has more than two blocks."""
+    rng = np.random.default_rng(3)
+    x = np.vstack([blob(300, 3, 1), blob(30, 3, 2), rng.standard_normal((270, DIM))]).astype(np.float32)[rng.permutation(600)]
+    want = sorted(brute_sets(x, 0.985, 20))
+    assert len(want) == 330
+    assert pairs_of(subset.crowds(frame(spark, x), books, cell=100, hot=40)) == want
+    assert pairs_of(clusters.tight_clusters(frame(spark, x), 5, min_score=0.985, least=20, hot=40)) == want
+
+
+def test_chain_of_sets(spark):
+    """Three sets of which neighbours are joined by one near pair: joined parts are checked pair by pair."""
+    g = np.full((18, 18), 0.5) + 0.5 * np.eye(18)
+    for i in range(3):
+        g[6 * i : 6 * i + 6, 6 * i : 6 * i + 6] = even(6, 0.9)
+    for a, b in ((5, 6), (11, 12)):
+        g[a, b] = g[b, a] = 0.802
+    w, v = np.linalg.eigh(g)
+    g = (v * np.maximum(w, 1e-6)) @ v.T
+    x = with_cosines(g / np.sqrt(np.outer(np.diag(g), np.diag(g))))
+    want = maximal_members(scores(x).round(9) >= 0.90, 5)
+    for k in (1, 6, 30):
+        assert set(pairs_of(clusters.tight_clusters(frame(spark, x), k))) == want
+
+
+def test_labels_between_blocks():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        x, y = (neighbours.unit(rng.standard_normal((n, 3))) for n in (9, 7))
+        lx, ly = mutual.across(x, y, np.arange(9), np.arange(20, 27), 0.9)
+        near = x @ y.T >= 0.9
+        assert (lx[near.any(1)] <= np.flatnonzero(near.any(1))).all() and all(lx[i] == ly[j] for i, j in zip(*np.nonzero(near))) and (lx[~near.any(1)] == mutual._NONE).all()
+        assert mutual.near_weight(x, y, np.arange(7), 0.9).tolist() == (near @ np.arange(7)).tolist()
