@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,6 +65,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_methods(spark: SparkSession) -> Iterator[None]:
+    """For a projection of hundreds of terms, executed inside: as one method it would be too long for the JVM to compile (8,000 bytes of code), so it is made as several."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def drop(df: DataFrame) -> None:
     """Remove a table of ``materialize`` that nothing reads any more."""
     for path in {os.path.dirname(f) for f in df.inputFiles()}:
