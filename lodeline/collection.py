@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, replace
 
-import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeline.operators import exact, graph, ivf, kmeans, metadata, pq, sq8
 from lodeline.operators.graph import HNSWConfig
+from lodeline.plans.runtime import materialize, ship
 from lodeline.plans.strategy import AutoTunerConfig, decide_mode, detect_ram_gb, mode_of
 from lodeline.sources.store import Store
 
@@ -30,7 +30,7 @@ class IVFConfig:
 
 class Collection:
     """``mode``: flat, hnsw, sq8 (scalar), pq (product), ivf or auto. All modes keep the full vectors; sq8, pq, hnsw and ivf add tables
-    that are rebuilt when rows were added since, so every row is searchable. State is reopened from the folder.
+    to which rows added since are appended before a search, so every row is searchable; deleted rows are left out of all of them. State is reopened from the folder.
 
     Scores: flat, hnsw and ivf (1 + cosine) / 2; sq8 the cosine of the decoded vector; pq the mean cosine over the
     sub-spaces. Higher is better; ties go to the row added first."""
@@ -39,6 +39,7 @@ class Collection:
         if not LEAST_DIM <= dimension <= MOST_DIM:
             raise ValueError(f"dimension {dimension} is not within {LEAST_DIM}..{MOST_DIM}")
         self.spark = spark or SparkSession.active()
+        ship(self.spark)
         self.store = Store(self.spark, path)
         self.hnsw, self.ivf = HNSWConfig(), IVFConfig()
         self.tuner = tuner or AutoTunerConfig(available_ram_gb=detect_ram_gb())
@@ -52,7 +53,7 @@ class Collection:
             self.quantized_graph = m["quantized_graph"]
         else:
             self.dimension, self.mode, self.quantized_graph = dimension, mode_of(mode), quantized_graph
-            self.store.manifest = {"next_id": 0, "fresh": {}}
+            self.store.manifest = {"next_id": 0, "upto": {}}
             self.persist()
 
     # -- constructors -----------------------------------------------------------------------------------
@@ -110,6 +111,8 @@ class Collection:
                 if len(v) != self.dimension:
                     raise ValueError(f"embedding {i} has {len(v)} dimensions, expected {self.dimension}")
             d = self.spark.createDataFrame([(i, str(e), [float(x) for x in v], m) for i, (e, v, m) in enumerate(zip(ids, embeddings, metadatas))], "n bigint, ext_id string, embedding array<float>, metadata string").orderBy("n")
+        # Staged once: what is checked, counted and numbered is what is written, whatever a second run of the source would give.
+        d = materialize(d.select("ext_id", "embedding", "metadata", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("o")), "added")
         bad = d.where(F.col("ext_id").isNull() | F.col("embedding").isNull() | (F.size("embedding") != self.dimension)).select(F.size("embedding").alias("n")).limit(1).collect()
         if bad:
             raise ValueError(f"an embedding has {bad[0].n} dimensions, expected {self.dimension}, or a row has no id")
@@ -118,27 +121,52 @@ class Collection:
         old = self._live()
         if old is not None and (r := metadata.already_stored(d, old, "ext_id").limit(1).collect()):
             raise ValueError(f"id {r[0][0]!r} is already stored")
-        start = self.store.manifest["next_id"]
-        # Places without a global sort: numbers within the tasks, after the sums of the tasks before.
-        d = d.withColumn("p", F.spark_partition_id()).withColumn("o", F.monotonically_increasing_id())
-        sizes = d.groupBy("p").agg(F.count(F.lit(1)).alias("c")).orderBy("p").collect()
-        before, n = {}, 0
-        for r in sizes:
-            before[r.p], n = n, n + r.c
+        # Places without a global sort: the numbers that the rows were staged with within the tasks, after the sums of the tasks before.
+        n, before = 0, []
+        for r in d.groupBy("p").agg(F.count(F.lit(1)).alias("c")).orderBy("p").collect():
+            before.append((r.p, n))
+            n += r.c
         if not n:
             return 0
-        base = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])
-        rows = d.withColumn("vec_id", F.lit(start) + base[F.col("p")] + F.row_number().over(Window.partitionBy("p").orderBy("o")) - 1).withColumn("vec_id", F.col("vec_id").cast("long"))
+        start = self.store.manifest["next_id"]
+        offsets = self.spark.createDataFrame(before, "p int, first bigint")  # a row for each task of the source
+        rows = d.join(F.broadcast(offsets), "p").withColumn("vec_id", F.col("first") + start + F.col("o").bitwiseAND(F.lit((1 << 33) - 1)))
         rows = rows.select("vec_id", "ext_id", "embedding", metadata.enrich("metadata", "ext_id").alias("metadata"))
         self.store.append("rows", rows)
         self.store.manifest["next_id"] = start + n
-        self.store.manifest["fresh"] = {}
         self.store.commit()
         return n
 
+    def set_metadata(self, ids: Sequence[str] | DataFrame, metadatas: Sequence[str] | None = None) -> int:
+        """Replace the metadata of stored ids (lists, or one DataFrame ``ext_id, metadata``); of an id that comes repeatedly the greatest text counts, unknown ids are
+        left out. Returns how many rows were set."""
+        d = ids.select("ext_id", "metadata") if isinstance(ids, DataFrame) else self.spark.createDataFrame([(str(i), m) for i, m in zip(ids, metadatas, strict=True)], "ext_id string, metadata string")
+        if (live := self._live()) is None:
+            return 0
+        d = d.groupBy("ext_id").agg(F.max("metadata").alias("metadata"))
+        new = materialize(live.select("vec_id", "ext_id").join(d, "ext_id").select("vec_id", metadata.enrich("metadata", "ext_id").alias("metadata")), "metadata")
+        if n := new.count():
+            old = self.store.read("metadata")
+            self.store.replace("metadata", new if old is None else metadata.upsert(old, new, "vec_id"))
+            self.store.commit()
+        return n
+
+    def metadata_count(self) -> int:
+        """Rows that have metadata."""
+        live = self._live()
+        return live.where(F.col("metadata").isNotNull()).count() if live is not None else 0
+
     def _live(self) -> DataFrame | None:
-        rows, gone = self.store.read("rows"), self.store.read("deleted")
-        return rows if rows is None or gone is None else metadata.delete(rows, gone, "vec_id")
+        rows, changed = self._kept("rows"), self.store.read("metadata")
+        if rows is None or changed is None:
+            return rows
+        new = changed.select("vec_id", F.col("metadata").alias("new"))
+        return rows.join(new, "vec_id", "left").select("vec_id", "ext_id", "embedding", F.coalesce("new", "metadata").alias("metadata"))
+
+    def _kept(self, table: str, key: str = "vec_id") -> DataFrame | None:
+        """A table without the deleted rows."""
+        rows, gone = self.store.read(table), self.store.read("deleted")
+        return rows if rows is None or gone is None else metadata.delete(rows, gone.withColumnRenamed("vec_id", key), key)
 
     def _vectors(self) -> DataFrame:
         live = self._live()
@@ -149,11 +177,10 @@ class Collection:
         d = ids.select("ext_id") if isinstance(ids, DataFrame) else self.spark.createDataFrame([(str(i),) for i in ids], "ext_id string")
         if (live := self._live()) is None:
             return 0
-        hit = live.join(d, "ext_id", "left_semi").select("vec_id")
+        hit = materialize(live.join(d, "ext_id", "left_semi").select("vec_id"), "deleted")
         n = hit.count()
         if n:
             self.store.append("deleted", hit)
-            self.store.manifest["fresh"] = {}
             self.store.commit()
         return n
 
@@ -169,6 +196,12 @@ class Collection:
         """``vec_id, embedding`` of a range of row numbers, pushed down to the scan."""
         return self._vectors().where(F.col("vec_id").between(start, start + count - 1))
 
+    def get_codes(self, start: int, count: int, mode: str = "pq") -> DataFrame:
+        """``vec_id, codes`` of a range of row numbers in mode sq8 or pq, pushed down to the scan."""
+        self._ensure(mode)
+        codes = self._kept(f"{mode}_codes")
+        return codes.where(F.col("vec_id").between(start, start + count - 1)) if codes is not None else self.spark.createDataFrame([], "vec_id bigint, codes array<smallint>")
+
     def count(self) -> int:
         live = self._live()
         return live.count() if live is not None else 0
@@ -199,29 +232,46 @@ class Collection:
         self.store.commit()
 
     def _fill_cells(self) -> None:
-        cids, c = kmeans.centroid_matrix(self.store.read("centroids"))
-        self.store.replace("cells", ivf.with_cell(self._vectors(), cids, c).repartition("cid"), "cid")
-        self.store.manifest["fresh"]["ivf"] = True
+        self.store.drop("cells")
+        self.store.manifest["upto"].pop("ivf", None)
+        self._ensure("ivf")
 
     def _ensure(self, mode: str) -> None:
-        """Build what the mode searches, if rows changed since it was built."""
-        if self.store.manifest["fresh"].get(mode):
+        """Append to the tables that the mode searches the rows added since; train what isn't trained."""
+        upto, last = self.store.manifest["upto"].get(mode, 0), self.store.manifest["next_id"]
+        if upto >= last:
             return
+        new = self._vectors().where(F.col("vec_id") >= upto)
         if mode == "sq8":
-            if self.store.read("sq8_model") is None:
-                self.store.replace("sq8_model", sq8.train(self._sample(), self.dimension))
-            self.store.replace("sq8_codes", sq8.encode(self._vectors(), self.store.read("sq8_model")))
+            model = sq8.train(self._vectors(), self.dimension) if self.store.read("sq8_model") is None else None
+            if model is None and not new.isEmpty() and self.store.manifest.get("sq8_own") and self._beyond(new):
+                model, new = sq8.train(self._vectors(), self.dimension), self._vectors()  # the range of all rows, so all are encoded again
+                self.store.drop("sq8_codes")
+            if model is not None:
+                self.store.replace("sq8_model", model)
+                self.store.manifest["sq8_own"] = True
+            self.store.append("sq8_codes", sq8.encode(new, self.store.read("sq8_model")))
         if mode == "pq" or (mode == "hnsw" and self.quantized_graph):
             if self.store.read("pq_model") is None:
                 self._train_pq(self._sample())
-            self.store.replace("pq_codes", pq.encode(self._vectors(), pq.codebook_matrix(self.store.read("pq_model"))))
+            since = self.store.manifest["upto"].get("pq", 0)
+            self.store.append("pq_codes", pq.encode(self._vectors().where(F.col("vec_id") >= since), pq.codebook_matrix(self.store.read("pq_model"))))
+            self.store.manifest["upto"]["pq"] = last
         if mode == "hnsw":
-            self.store.replace("nodes", graph.build(self._vectors(), graph.shards_for(self.count()), self.hnsw))
+            first, shards = self.store.manifest.get("shards", 0), graph.shards_for(new.count())
+            self.store.append("nodes", graph.build(new, shards, self.hnsw).withColumn("shard", (F.col("shard") + first).cast("int")))
+            self.store.manifest["shards"] = first + shards
         if mode == "ivf" and self.store.read("centroids") is not None:
-            self._fill_cells()
-        self.store.manifest["fresh"][mode] = True
+            cids, c = kmeans.centroid_matrix(self.store.read("centroids"))
+            self.store.append("cells", ivf.with_cell(new, cids, c).repartition("cid"), "cid")
+        self.store.manifest["upto"][mode] = last
         self.store.commit()
 
+    def _beyond(self, new: DataFrame) -> bool:
+        """Whether elements of the rows lie beyond the range that sq8 was trained for."""
+        both = sq8.train(new, self.dimension).select("pos", F.col("mn").alias("low"), F.col("mx").alias("high")).join(self.store.read("sq8_model"), "pos")
+        return not both.where("low < mn or high > mx").isEmpty()
+
     def effective_mode(self) -> str:
         return decide_mode(self.count(), self.tuner) if self.mode == "auto" else self.mode
 
@@ -232,6 +282,7 @@ class Collection:
     def configure_ivf(self, nlist: int = 100, nprobe: int = 10, max_iterations: int = 10) -> None:
         self.ivf = replace(self.ivf, nlist=nlist, nprobe=nprobe, max_iterations=max_iterations)
         self.store.drop("centroids"), self.store.drop("cells")
+        self.store.manifest["upto"].pop("ivf", None)
         self.persist()
 
     def set_ef_search(self, ef: int) -> None:
@@ -265,21 +316,17 @@ class Collection:
             return self.spark.createDataFrame([], T.StructType.fromDDL("qid bigint, rk int, ext_id string, score double, metadata string"))
         self._ensure(mode)
         if mode == "sq8":
-            found = sq8.search(self.store.read("sq8_codes"), self.store.read("sq8_model"), queries, k)
+            found = sq8.search(self._kept("sq8_codes"), self.store.read("sq8_model"), queries, k)
         elif mode == "pq":
-            found = pq.search(self.store.read("pq_codes"), pq.codebook_matrix(self.store.read("pq_model")), queries, k)
+            found = pq.search(self._kept("pq_codes"), pq.codebook_matrix(self.store.read("pq_model")), queries, k)
         elif mode == "hnsw" and self.quantized_graph:
-            c = pq.codebook_matrix(self.store.read("pq_model"))
-
-            def adc(q: np.ndarray, codes: np.ndarray) -> np.ndarray:
-                return np.take_along_axis(pq.distance_table(q, c)[0].T, codes.astype(np.int64), 0).mean(1)[None]
-
-            found = graph.search(self.store.read("nodes"), self.store.read("pq_codes").withColumnRenamed("codes", "embedding"), queries, k, self.hnsw, adc)
+            scores = pq.table_scores(pq.codebook_matrix(self.store.read("pq_model")))
+            found = graph.search(self._kept("nodes", "id"), self._kept("pq_codes").withColumnRenamed("codes", "embedding"), queries, k, self.hnsw, scores)
         elif mode == "hnsw":
-            found = graph.search(self.store.read("nodes"), self._vectors(), queries, k, self.hnsw)
+            found = graph.search(self._kept("nodes", "id"), self._vectors(), queries, k, self.hnsw)
         elif mode == "ivf" and self.store.read("cells") is not None:
             cids, c = kmeans.centroid_matrix(self.store.read("centroids"))
-            found = ivf.search(self.store.read("cells"), cids, c, queries, k, self.ivf.nprobe)
+            found = ivf.search(self._kept("cells"), cids, c, queries, k, self.ivf.nprobe)
         else:
             found = exact.batch_topk(self._vectors(), queries, k)
         return found.join(live.select("vec_id", "ext_id", "metadata"), "vec_id").select("qid", "rk", "ext_id", "score", "metadata")

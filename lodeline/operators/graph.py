@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import math
 from collections.abc import Callable, Iterator
@@ -36,14 +37,9 @@ class HNSWConfig:
 
 
 def level_of(ids: np.ndarray, config: HNSWConfig) -> np.ndarray:
-    """floor(-ln u x ml), at most TOP_LEVEL; u in (0, 1) comes from a hash of the id, so builds repeat."""
-    h = ids.astype(np.uint64) + np.uint64(config.seed) * np.uint64(0x9E3779B97F4A7C15)
-    with np.errstate(over="ignore"):
-        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
-    h ^= h >> np.uint64(31)
-    u = (h >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
-    return np.minimum(np.floor(-np.log(u) * config.ml), TOP_LEVEL).astype(np.int32)
+    """floor(-ln u x ml), at most TOP_LEVEL; u in (0, 1) comes from the MD5 of the id and the seed (its first 52 bits), so builds repeat."""
+    bits = np.array([int(hashlib.md5(b"%d:%d" % (i, config.seed)).hexdigest()[:13], 16) for i in ids.tolist()], np.float64)
+    return np.minimum(np.floor(-np.log((bits + 0.5) * 2.0**-52) * config.ml), TOP_LEVEL).astype(np.int32)
 
 
 class Graph:
@@ -87,7 +83,7 @@ class Graph:
         for layer in range(min(level, self.top), -1, -1):
             near = self.search_layer(own, near, self.config.ef_construction, layer)
             most = self.config.m_max0 if layer == 0 else self.config.m
-            for _, j in near[: self.config.m]:
+            for _, j in near[:most]:
                 self.links[i][layer].append(j)
                 back = self.links[j][layer]
                 back.append(i)
@@ -135,21 +131,22 @@ def build(vectors: DataFrame, shards: int, config: HNSWConfig = HNSWConfig()) ->
     return d.groupBy("shard").applyInArrow(one, "shard int, id bigint, level int, neighbors array<array<bigint>>")
 
 
-def search(nodes: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, config: HNSWConfig = HNSWConfig(), score: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def search(nodes: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, config: HNSWConfig = HNSWConfig(), prepare: Callable[[np.ndarray], Callable[[np.ndarray], np.ndarray]] | None = None) -> DataFrame:
     """``qid, vec_id, rk, score`` as ``batch_topk``, approximately: each shard's graph gives its 2k best of a beam, which are merged by query.
-    nodes: as given by ``build``; vectors: ``vec_id, embedding`` (or codes, with ``score``, a function of queries and stored rows, higher better)."""
+    nodes: as given by ``build``; vectors: ``vec_id, embedding`` (or codes, with ``prepare``, which makes of a query, once, a function
+    of stored rows that gives their scores, higher better)."""
     spark = nodes.sparkSession
     d = nodes.join(vectors.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")), "id").select("shard", "id", "level", "neighbors", "v")
     out = None
     for qids, q in query_slices(queries):
         shared = spark.sparkContext.broadcast((qids, q))
 
-        part = d.groupBy("shard").applyInArrow(_beams(shared, k, config, score), SCHEMA)
+        part = d.groupBy("shard").applyInArrow(_beams(shared, k, config, prepare), SCHEMA)
         out = part if out is None else out.union(part)
     return ranked(out if out is not None else spark.createDataFrame([], SCHEMA), k)
 
 
-def _beams(shared, k: int, config: HNSWConfig, score) -> Callable[[pa.Table], pa.Table]:
+def _beams(shared, k: int, config: HNSWConfig, prepare) -> Callable[[pa.Table], pa.Table]:
     def one(t: pa.Table) -> pa.Table:
         qids, q = shared.value
         x, at = matrix(t["v"])
@@ -160,17 +157,23 @@ def _beams(shared, k: int, config: HNSWConfig, score) -> Callable[[pa.Table], pa
         g.links = [[[place[j] for j in layer or [] if j in place] for layer in links[a] or []] or [[]] for a in at]
         g.entry = int(np.lexsort((ids, -level))[0]) if len(ids) else -1
         g.top = len(g.links[g.entry]) - 1 if len(ids) else -1
-        y, z = (x, q) if score else (_unit(x), _unit(q))
-        of = score or (lambda q, r: (1 + q @ r.T) / 2)
+        y, z = (x, q) if prepare else (_unit(x), _unit(q))
         rows: tuple[list, list, list] = [], [], []
         for n in range(len(q)):
-            for dist, i in g.search(lambda r, n=n: 1 - of(z[n : n + 1], y[r])[0], 2 * k, config.ef_search):
+            of = prepare(z[n]) if prepare else lambda rows, n=n: (1 + rows @ z[n]) / 2
+            for dist, i in g.search(lambda r, of=of: 1 - of(y[r]), 2 * k, config.ef_search):
                 rows[0].append(int(qids[n])), rows[1].append(int(ids[i])), rows[2].append(round(1 - dist, 9))
         return pa.table({"qid": pa.array(rows[0], pa.int64()), "vec_id": pa.array(rows[1], pa.int64()), "s": pa.array(rows[2], pa.float64())})
 
     return one
 
 
+def sizes(nodes: DataFrame) -> DataFrame:
+    """``shard, n, n_layers``: the distinct nodes of each shard, and its layers. Null shards and ids don't count; a shard without any has no row."""
+    n = nodes.where("id is not null and shard is not null")
+    return n.groupBy("shard").agg(F.countDistinct("id").alias("n"), (F.max("level") + 1).alias("n_layers"))
+
+
 def edges(nodes: DataFrame) -> DataFrame:
     """``shard, layer, src, dst``: distinct links of stored nodes, without null lists, self links and links to ids that the shard doesn't hold."""
     n = nodes.where("id is not null and shard is not null").select("shard", "id", F.posexplode("neighbors").alias("layer", "links"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,10 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeline.functions.kernels import TopK, cosine, matrix
-from lodeline.operators.exact import SCHEMA, ranked
-
-#: Rows of a block: a cell with more is spread over several.
-BLOCK_ROWS = 20000
+from lodeline.operators.exact import SCHEMA, query_slices, ranked
 
 
 def assign(vectors: DataFrame, cids: np.ndarray, c: np.ndarray, nprobe: int = 1, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
@@ -38,33 +34,64 @@ def assign(vectors: DataFrame, cids: np.ndarray, c: np.ndarray, nprobe: int = 1,
 
 
 def with_cell(vectors: DataFrame, cids: np.ndarray, c: np.ndarray) -> DataFrame:
-    """``cid, vec_id, embedding``: to be written partitioned by cid."""
-    return vectors.select("vec_id", "embedding").join(assign(vectors, cids, c).select("vec_id", "cid"), "vec_id").select("cid", "vec_id", "embedding")
+    """``cid, vec_id, embedding``: to be written partitioned by cid. A projection in Arrow batches."""
+    shared = vectors.sparkSession.sparkContext.broadcast((cids, c))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cids, c = shared.value
+        for b in batches:
+            x, at = matrix(b.column(1), c.shape[1] if len(c) else 0)
+            s = cosine(x, c).round(12) if len(c) else np.zeros((0, 1))
+            near = np.lexsort((np.broadcast_to(cids, s.shape), -s), axis=-1)[:, 0] if len(c) else np.zeros(0, np.int64)
+            keep = pa.array(at[: len(near)])
+            yield pa.RecordBatch.from_arrays([pa.array(cids[near].astype(np.int32)), b.column(0).take(keep), b.column(1).take(keep)], ["cid", "vec_id", "embedding"])
+
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    return vectors.select("vec_id", "embedding").mapInArrow(run, f"cid int, vec_id bigint, embedding {kind}")
+
+
+def _best(q: np.ndarray, v: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    o = np.lexsort((v, -s, q))
+    q, v, s = q[o], v[o], s[o]
+    keep = np.arange(len(q)) - np.searchsorted(q, q, "left") < k
+    return q[keep], v[keep], s[keep]
 
 
 def search(cells: DataFrame, cids: np.ndarray, c: np.ndarray, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
     """``qid, vec_id, rk, score`` as ``batch_topk``, over the members of the ``nprobe`` cells nearest to each query. cells: ``cid, vec_id, embedding``.
 
-    Members and queries meet by cell; a cell above BLOCK_ROWS is spread over several blocks by a hash, and its queries go to each of them, so
-    no task gathers a cell of unbounded size. Blocks give k rows per query."""
-    sizes = cells.groupBy("cid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK_ROWS).collect()  # at most rows / BLOCK_ROWS, and nlist
-    blocks = {r.cid: math.ceil(r.n / BLOCK_ROWS) for r in sizes}
-    wide = F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv]) if blocks else None
-    number = F.coalesce(wide[F.col("cid")], F.lit(1)) if blocks else F.lit(1)
-    e = cells.select("cid", F.pmod(F.xxhash64("vec_id"), number).cast("int").alias("block"), F.lit(True).alias("entry"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    p = assign(queries, cids, c, nprobe, "q", "qid").select("qid", "cid").join(queries.select("qid", "q"), "qid")
-    p = p.select("cid", F.explode(F.sequence(F.lit(0), number.cast("int") - 1)).alias("block"), F.lit(False).alias("entry"), F.col("qid").alias("id"), F.col("q").cast("array<double>").alias("v"))
-
-    def score(t: pa.Table) -> pa.Table:
-        x, at = matrix(t["v"], c.shape[1])
-        own, ids = t["entry"].to_numpy()[at], t["id"].to_numpy()[at]
-        q = np.flatnonzero(~own)
-        best = TopK(len(q), k)
-        rows = np.flatnonzero(own)
-        for s in range(0, len(rows), step := max(1, (1 << 22) // max(1, len(q)))):
-            r = rows[s : s + step]
-            best.add(cosine(x[q], x[r]), ids[r])
-        i, v, s = best.rows()
-        return pa.table({"qid": ids[q][i], "vec_id": v, "s": s})
-
-    return ranked(e.union(p).groupBy("cid", "block").applyInArrow(score, SCHEMA), k)
+    The members stay where they are stored: only cells that some query probes are read (a filter on cid, which prunes a table that is partitioned by it), queries go to
+    them in slices of a bounded size, and a task scores the members of a cell with the queries that probe it and keeps k rows per query. A cell of any size is as many
+    tasks as it has splits."""
+    spark = cells.sparkSession
+    out = None
+    n = min(nprobe, len(cids))
+    for ids, q in query_slices(queries) if k > 0 and n > 0 else ():
+        near = np.lexsort((np.broadcast_to(cids, (len(q), len(cids))), -cosine(q, c).round(12)), axis=-1)[:, :n]
+        of_cell = {int(cids[j]): np.flatnonzero((near == j).any(1)) for j in np.unique(near)}
+        shared = spark.sparkContext.broadcast((ids, q, of_cell))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, q, of_cell = shared.value
+            best = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+            held = 0
+            for b in batches:
+                x, at = matrix(b.column("embedding"), q.shape[1])
+                own, cid = b.column("vec_id").to_numpy()[at], b.column("cid").to_numpy()[at]
+                for one in np.unique(cid).tolist():
+                    rows, who = np.flatnonzero(cid == one), of_cell.get(one, np.zeros(0, np.int64))
+                    for s in range(0, len(who), step := max(1, (1 << 22) // max(1, len(rows)))):
+                        few = TopK(len(who[s : s + step]), k)
+                        few.add(cosine(q[who[s : s + step]], x[rows]), own[rows])
+                        i, v, score = few.rows()
+                        best.append((who[s : s + step][i], v, score))
+                        held += len(i)
+                if held > 1 << 20:
+                    best = [_best(*map(np.concatenate, zip(*best)), k)]
+                    held = 0
+            i, v, s = _best(*map(np.concatenate, zip(*best)), k)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(v), pa.array(s)], ["qid", "vec_id", "s"])
+
+        local = cells.where(F.col("cid").isin(sorted(of_cell))).select("cid", "vec_id", "embedding").mapInArrow(run, SCHEMA)
+        out = local if out is None else out.union(local)
+    return ranked(out if out is not None else spark.createDataFrame([], SCHEMA), k)

@@ -47,14 +47,19 @@ def _sums(vectors: DataFrame, c: np.ndarray, nearest, subs: int) -> tuple[np.nda
                 np.add.at(s[m], near, y)
                 n[m] += np.bincount(near, minlength=c.shape[1])
         m, k = np.nonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(m, pa.int32()), pa.array(k, pa.int32()), pa.array(n[m, k]), pa.array(list(s[m, k]), pa.list_(pa.float64()))], ["m", "k", "n", "s"])
+        yield pa.RecordBatch.from_arrays([pa.array(m, pa.int32()), pa.array(k, pa.int32()), pa.array(n[m, k]), pa.array([r.tobytes() for r in s[m, k]], pa.binary())], ["m", "k", "n", "s"])
 
-    parts = vectors.select("embedding").mapInArrow(run, "m int, k int, n bigint, s array<double>")
-    total = parts.select("m", "k", "n", F.posexplode("s").alias("j", "x")).groupBy("m", "k", "j").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).toArrow()
+    def add(t: pa.Table) -> pa.Table:
+        s = np.frombuffer(b"".join(t["s"].to_pylist())).reshape(-1, width).sum(0)
+        return pa.table({"m": t["m"].slice(0, 1), "k": t["k"].slice(0, 1), "n": pa.array([int(t["n"].to_numpy().sum())]), "s": pa.array([s.tobytes()], pa.binary())})
+
+    out = "m int, k int, n bigint, s binary"
+    total = vectors.select("embedding").mapInArrow(run, out).groupBy("m", "k").applyInArrow(add, out).toArrow()
     s, n = np.zeros_like(c), np.zeros(c.shape[:2], np.int64)
-    m, k, j = (total[x].to_numpy() for x in ("m", "k", "j"))
-    s[m, k, j] = total["x"].to_numpy()
+    m, k = total["m"].to_numpy(), total["k"].to_numpy()
     n[m, k] = total["n"].to_numpy()
+    if len(m):
+        s[m, k] = np.frombuffer(b"".join(total["s"].to_pylist())).reshape(-1, width)
     return s, n
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeline.functions.kernels import matrix
-from lodeline.operators.exact import batch_topk
+from lodeline.functions.vectors import cosine_score
+from lodeline.operators.exact import batch_topk, ranked
 from lodeline.operators.kmeans import first_vectors, nearest_cosine, spherical
 
 CODES = 256
@@ -41,8 +42,19 @@ def start_codebooks(vectors: DataFrame, m: int, codes: int = CODES) -> np.ndarra
     return np.where(n > 1e-10, c / np.where(n > 1e-10, n, 1), c)
 
 
+def validate(dim: int, m: int, codes: int = CODES) -> None:
+    """Raise ValueError for a configuration that can't be: sub-spaces that don't divide the dimension, codes that don't fit into a byte."""
+    if m < 1 or dim % m:
+        raise ValueError(f"dimension {dim} can't be cut into {m} sub-spaces")
+    if not 1 <= codes <= 256:
+        raise ValueError(f"{codes} codes aren't within 1..256")
+
+
 def train(vectors: DataFrame, m: int, codes: int = CODES, iterations: int = 20) -> np.ndarray:
     """Codebooks (sub-space, code, element), by spherical k-means. vectors: ``vec_id, embedding``."""
+    dim = vectors.where("embedding is not null").agg(F.max(F.size("embedding"))).first()[0]
+    if dim is not None:
+        validate(dim, m, codes)
     return spherical(vectors, start_codebooks(vectors, m, codes), iterations)
 
 
@@ -98,6 +110,23 @@ def search(codes: DataFrame, c: np.ndarray, queries: DataFrame, k: int) -> DataF
     return batch_topk(codes.select("vec_id", F.col("codes").alias("embedding")), queries, k, decode=lambda x: x, scores=scores)
 
 
+def table_scores(c: np.ndarray):
+    """For a graph's search over codes: of a query, whose table is made once, a function of stored codes that gives their scores."""
+
+    def prepare(q: np.ndarray):
+        t, at = distance_table(q[None], c)[0], np.arange(len(c))
+        return lambda codes: t[at, codes.astype(np.int64)].mean(1)
+
+    return prepare
+
+
+def search_reranked(codes: DataFrame, c: np.ndarray, vectors: DataFrame, queries: DataFrame, k: int, longer: int = 20) -> DataFrame:
+    """As ``batch_topk``: the k best by the exact score among the k x ``longer`` best by the codes. Only those are joined to their vectors."""
+    found = search(codes, c, queries, k * longer).select("qid", "vec_id")
+    d = found.join(vectors.select("vec_id", "embedding"), "vec_id").join(queries.select("qid", "q"), "qid")
+    return ranked(d.select("qid", "vec_id", F.round(cosine_score(F.col("embedding"), F.col("q")), 9).alias("s")), k)
+
+
 def stats(n: int, m: int, sub_dim: int) -> dict[str, float]:
     memory, full = n * m, n * m * sub_dim * 4
     return {"vector_count": n, "memory_bytes": memory, "full_precision_bytes": full, "compression_ratio": full / max(memory, 1)}

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeline.functions.kernels import matrix
+
 #: A key with at least this share of all rows is heavy, so there are at most 100 of them.
 HEAVY_SHARE = 0.01
 SALTS = 32
@@ -71,5 +76,25 @@ def partition_means(assignment: DataFrame, vectors: DataFrame) -> DataFrame:
     ``usable``), one row per element; a partition without any has no rows."""
     m = partition_members(assignment).join(vectors.select("vec_id", "embedding"), "vec_id")
     heavy = heavy_keys(assignment.where("cid >= 0"), "cid", ["vec_id", "assigned_at"])
-    x = m.select("cid", "vec_id", F.posexplode("embedding").alias("pos", "x"))
-    return salted_aggregate(x, "cid", {"mean": ("mean", F.col("x").cast("double")), "n_vectors": ("count", F.lit(1))}, ["vec_id"], also=("pos",), heavy=heavy)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each partition and salt of a batch: the sum of its vectors, as bytes."""
+        for b in batches:
+            x, at = matrix(b.column("embedding"))
+            key = b.column("cid").to_numpy()[at].astype(np.int64) * SALTS + b.column("__salt").to_numpy()[at]
+            o = np.argsort(key, kind="stable")
+            own, first, n = np.unique(key[o], return_index=True, return_counts=True)
+            s = np.add.reduceat(x[o], first, axis=0) if len(own) else np.zeros((0, 0))
+            yield pa.RecordBatch.from_arrays([pa.array((own // SALTS).astype(np.int32)), pa.array((own % SALTS).astype(np.int32)), pa.array(n), pa.array([r.tobytes() for r in s], pa.binary())], ["cid", "salt", "n", "s"])
+
+    def add(t: pa.Table) -> pa.Table:
+        s = sum(np.frombuffer(r) for r in t["s"].to_pylist())
+        return pa.table({"cid": t["cid"].slice(0, 1), "salt": t["salt"].slice(0, 1), "n": pa.array([int(t["n"].to_numpy().sum())]), "s": pa.array([s.tobytes()], pa.binary())})
+
+    def mean(t: pa.Table) -> pa.Table:
+        s, n = sum(np.frombuffer(r) for r in t["s"].to_pylist()), int(t["n"].to_numpy().sum())
+        return pa.table({"cid": pa.array([t["cid"][0].as_py()] * len(s), pa.int32()), "pos": pa.array(np.arange(len(s), dtype=np.int32)), "mean": pa.array(s / n), "n_vectors": pa.array(np.full(len(s), n, np.int64))})
+
+    row = "cid int, salt int, n bigint, s binary"
+    parts = salted(m, "cid", heavy, ["vec_id"]).select("cid", "__salt", "embedding").mapInArrow(partial, row)
+    return parts.groupBy("cid", "salt").applyInArrow(add, row).groupBy("cid").applyInArrow(mean, "cid int, pos int, mean double, n_vectors bigint")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -39,8 +40,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of this machine where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where that is unset, one of this machine if the session runs on it alone; a cluster has to name one."""
     if not (at := spark.conf.get("spark.checkpoint.dir", None)):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is unset: on a cluster it has to name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="lodeline-")
         spark.conf.set("spark.checkpoint.dir", at)
         atexit.register(_drop_local, at.removeprefix("file://"))
@@ -77,14 +80,6 @@ def small_methods(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, was)
 
 
-def drop(df: DataFrame) -> None:
-    """Remove a table of ``materialize`` that nothing reads any more."""
-    for path in {os.path.dirname(f) for f in df.inputFiles()}:
-        for made in [m for m in _made if path.endswith(m[1].rpartition("/")[2])]:
-            _remove(*made)
-            _made.remove(made)
-
-
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

@@ -3,15 +3,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeline.functions import vectors as V
+from lodeline.functions.kernels import matrix
 from lodeline.operators import evaluate, exact, graph, ivf, kmeans, pq, sq8
 from lodeline.plans.runtime import read
 
-K, NLIST, NPROBE, SUBS, CODES = 10, 16, 4, 8, 16
+K, NLIST, NPROBE, SUBS, CODES, LONGER = 10, 16, 12, 8, 16, 30
 
 
 def _e(spark: SparkSession, d: str) -> DataFrame:
@@ -45,7 +49,7 @@ def euclidean_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def l2_normalize(spark: SparkSession, d: str) -> DataFrame:
-    x = read(spark, d, "vectors").where("size(embedding) = 128").select("vec_id", "ingested_at", "embedding").where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e30)))
+    x = read(spark, d, "vectors").select("vec_id", "ingested_at", "embedding").where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     x = x.groupBy("vec_id").agg(F.max_by("embedding", "ingested_at").alias("embedding"))
     return x.select("vec_id", F.posexplode(V.l2_normalize(F.col("embedding"))).alias("pos", "x")).groupBy("vec_id").agg(_r(F.sum(F.col("x") * (F.col("pos") + 1)), 5).alias("checksum"), _r(F.max("x"), 5).alias("largest"))
 
@@ -176,15 +180,21 @@ def pq_encode(spark: SparkSession, d: str) -> DataFrame:
 
 def pq_distance_table(spark: SparkSession, d: str) -> DataFrame:
     e, c = _pq(spark, d)
-    rows = []
-    for ids, q in exact.query_slices(_q(e)):  # queries x sub-spaces x codes
-        t = pq.distance_table(q, c).round(6)
-        i, m, k = (x.ravel() for x in np.indices(t.shape))
-        rows.append((ids[i], m, k, t.ravel()))
-    import pandas as pd
+    shared = spark.sparkContext.broadcast(c)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, at = matrix(b.column(1), c.shape[0] * c.shape[2])
+            t = pq.distance_table(x, shared.value).round(6)
+            i, m, k = (y.ravel() for y in np.indices(t.shape))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at[i])), pa.array(m, pa.int32()), pa.array(k, pa.int32()), pa.array(t.ravel())], ["qid", "m", "code", "c"])
 
-    p = pd.concat([pd.DataFrame(dict(zip(("qid", "m", "code", "c"), r))) for r in rows]) if rows else pd.DataFrame({"qid": [], "m": [], "code": [], "c": []})
-    return spark.createDataFrame(p.astype({"qid": "int64", "m": "int32", "code": "int32", "c": "float64"}), "qid bigint, m int, code int, c double")
+    return _q(e).mapInArrow(run, "qid bigint, m int, code int, c double")
+
+
+def pq_rerank_topk(spark: SparkSession, d: str) -> DataFrame:
+    e, c = _pq(spark, d)
+    return pq.search_reranked(pq.encode(e, c), c, e, _q(e), K, LONGER).select("qid", "vec_id", "rk", _r("score").alias("score"))
 
 
 def pq_batch_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -208,9 +218,7 @@ def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hnsw_levels(spark: SparkSession, d: str) -> DataFrame:
-    def run(batches):
-        import pyarrow as pa
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(graph.level_of(b.column(0).to_numpy(), graph.HNSWConfig()))], ["vec_id", "level"])
 
@@ -227,11 +235,24 @@ def hnsw_pq_topk(spark: SparkSession, d: str) -> DataFrame:
     e, c = _pq(spark, d)
     codes = pq.encode(e, c).withColumnRenamed("codes", "embedding")
 
-    def adc(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-        return np.take_along_axis(pq.distance_table(q, c)[0].T, x.astype(np.int64), 0).mean(1)[None]
-
     nodes = graph.build(e, graph.shards_for(e.count(), 500))
-    return graph.search(nodes, codes, _q(e), K, score=adc)
+    return graph.search(nodes, codes, _q(e), K, prepare=pq.table_scores(c))
+
+
+def index_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each index reaches a mean recall of 0.9 against the exact search."""
+    e = _e(spark, d)
+    truth = exact.batch_topk(e, _q(e), K)
+    found = {"hnsw": hnsw_topk(spark, d), "ivf": ivf_topk(spark, d), "pq_rerank": pq_rerank_topk(spark, d), "sq8": _sq8_batch(spark, d)}
+    out = None
+    for name, f in found.items():
+        r = evaluate.recall(f, truth).agg((F.avg("recall") >= 0.9).alias("reached")).select(F.lit(name).alias("index"), "reached")
+        out = r if out is None else out.union(r)
+    return out
+
+
+def hnsw_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return graph.sizes(read(spark, d, "hnsw_nodes"))
 
 
 def graph_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -300,9 +321,9 @@ QUERIES = {
     "euclidean_pairs": (euclidean_pairs, f"{PAIR} SELECT vec_id, round(list_distance(a, b) ** 2, 6) AS sq, round(list_distance(a, b), 6) AS l2 FROM p"),
     "l2_normalize": (
         l2_normalize,
-        """WITH u AS (SELECT vec_id, arg_max(embedding, ingested_at)::DOUBLE[] AS v FROM vectors WHERE len(embedding) = 128 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND NOT isnan(x) AND abs(x) < 1e30)) = 128 GROUP BY vec_id),
+        """WITH u AS (SELECT vec_id, arg_max(embedding, ingested_at)::DOUBLE[] AS v FROM vectors WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding) GROUP BY vec_id),
 n AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM u),
-x AS (SELECT vec_id, unnest(CASE WHEN n > 1e-10 THEN list_transform(v, lambda z: z / n) ELSE v END) AS x, unnest(range(128)) AS pos FROM n)
+x AS (SELECT vec_id, unnest(CASE WHEN n > 1e-10 THEN list_transform(v, lambda z: z / n) ELSE v END) AS x, unnest(range(len(v))) AS pos FROM n)
 SELECT vec_id, round(sum(x * (pos + 1)), 5) AS checksum, round(max(x), 5) AS largest FROM x GROUP BY vec_id""",
     ),
     "subvectors": (subvectors, f"WITH {E}, {X} SELECT vec_id, (pos // 8)::INTEGER AS m, round(sum(x * (pos % 8 + 1)), 6) AS checksum FROM x GROUP BY 1, 2"),
@@ -338,7 +359,14 @@ SELECT m::INTEGER AS m, code, unnest(range(8))::INTEGER AS j, round(unnest(c), 6
     "pq_stats": (pq_stats, "SELECT count(*) AS vector_count, count(*) * 8 AS memory_bytes, count(*) * 256 AS full_precision_bytes, count(*) * 256 / greatest(count(*) * 8, 1)::DOUBLE AS compression_ratio FROM embeddings"),
     "recall_at_k": (recall_at_k, f"""WITH f AS ({SQ8_TOP}), t AS ({BATCH})
 SELECT t.qid, round(count(f.vec_id) / count(*)::DOUBLE, 6) AS recall FROM t LEFT JOIN f ON f.qid = t.qid AND f.vec_id = t.vec_id GROUP BY t.qid"""),
-    "hnsw_levels": (hnsw_levels, None),
+    "pq_rerank_topk": (pq_rerank_topk, PQ + f""", t AS (SELECT vec_id AS qid, m, code, cs FROM cosines WHERE vec_id % 20 = 0),
+a AS (SELECT qid, vec_id, sum(cs) / {SUBS} AS sc FROM t JOIN (SELECT vec_id, m, code FROM enc) USING (m, code) GROUP BY qid, vec_id),
+w AS (SELECT qid, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(sc, 9) DESC, vec_id) AS n FROM a) WHERE n <= {K * LONGER}),
+{_top(COS, "qid, vec_id, rk, round(sc, 6) AS score", "w JOIN q USING (qid) JOIN e USING (vec_id)")}"""),
+    "index_recall": (index_recall, "SELECT unnest(['hnsw', 'ivf', 'pq_rerank', 'sq8']) AS index, true AS reached"),
+    "hnsw_sizes": (hnsw_sizes, "SELECT shard, count(DISTINCT id) AS n, max(level) + 1 AS n_layers FROM hnsw_nodes WHERE id IS NOT NULL AND shard IS NOT NULL GROUP BY shard"),
+    "hnsw_levels": (hnsw_levels, """SELECT least(16, floor(-ln((('0x' || substr(md5(vec_id || ':0'), 1, 13))::UBIGINT + 0.5::DOUBLE) * pow(2.0, -52)) / ln(16)))::INTEGER AS level, count(*) AS n
+FROM embeddings GROUP BY 1"""),
     "hnsw_topk": (hnsw_topk, None),
     "hnsw_pq_topk": (hnsw_pq_topk, None),
     "graph_edges": (graph_edges, EDGES + " SELECT shard, layer, src, dst FROM edges"),

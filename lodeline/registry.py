@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodeline.plans import partition_queries, row_queries, search_queries
+from lodeline.plans import facade_queries, partition_queries, row_queries, search_queries
 
-MODULES = [search_queries, row_queries, partition_queries]
+MODULES = [search_queries, row_queries, partition_queries, facade_queries]
 
 
 def queries() -> dict:

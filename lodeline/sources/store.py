@@ -1,5 +1,6 @@
 """A folder of Parquet tables under a JSON manifest. A table's rows become visible when the manifest names their folder: a failed or repeated write
-leaves the old state. One writer at a time."""
+leaves the old state. Each commit is a file of its own, ``manifest-<number>.json``, that appears by one rename to a name that doesn't exist yet; the greatest number counts, so there
+is no moment without a manifest. One writer at a time."""
 
 from __future__ import annotations
 
@@ -19,25 +20,33 @@ class Store:
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self.manifest: dict = {}
 
+    def _commits(self) -> list[int]:
+        """The numbers of the manifests, ascending."""
+        found = self._fs.globStatus(self._path(f"{self.path}/manifest-*.json")) or []
+        return sorted(int(f.getPath().getName()[9:-5]) for f in found)
+
     def exists(self) -> bool:
-        return self._fs.exists(self._path(f"{self.path}/manifest.json"))
+        return bool(self._commits())
 
     def load(self) -> dict:
-        text = "\n".join(r.value for r in self.spark.read.text(f"{self.path}/manifest.json").collect())
+        text = "\n".join(r.value for r in self.spark.read.text(f"{self.path}/manifest-{self._commits()[-1]:010d}.json").collect())
         self.manifest = json.loads(text)
         if self.manifest.get("format_version", 0) > FORMAT_VERSION:
             raise ValueError(f"format version {self.manifest['format_version']} is newer than {FORMAT_VERSION}")
         return self.manifest
 
     def commit(self) -> None:
-        """Write the manifest beside the old one, then put it in its place."""
+        """Write the manifest under a name that nothing reads, then give it the next number. The one before stays, older ones go."""
         self.manifest["format_version"] = FORMAT_VERSION
-        new, old = self._path(f"{self.path}/manifest.new"), self._path(f"{self.path}/manifest.json")
+        old = self._commits()
+        new, to = self._path(f"{self.path}/manifest.new"), self._path(f"{self.path}/manifest-{(old[-1] if old else 0) + 1:010d}.json")
         out = self._fs.create(new, True)
         out.write(bytearray(json.dumps(self.manifest, indent=1, sort_keys=True).encode()))
         out.close()
-        self._fs.delete(old, False)
-        self._fs.rename(new, old)
+        if not self._fs.rename(new, to):
+            raise OSError(f"the manifest can't be renamed to {to}")
+        for n in old[:-1]:
+            self._fs.delete(self._path(f"{self.path}/manifest-{n:010d}.json"), False)
 
     def append(self, table: str, rows: DataFrame, partition_by: str | None = None) -> None:
         self.manifest.setdefault("tables", {}).setdefault(table, []).append(self._write(table, rows, partition_by))
@@ -49,7 +58,7 @@ class Store:
         self.manifest.get("tables", {}).pop(table, None)
 
     def _write(self, table: str, rows: DataFrame, partition_by: str | None) -> str:
-        part = f"{table}/{uuid.uuid4().hex}"
+        part = f"{table}/batch={uuid.uuid4().hex}"
         w = rows.write
         (w.partitionBy(partition_by) if partition_by else w).parquet(f"{self.path}/{part}")
         self.manifest.setdefault("schemas", {})[table] = rows.schema.json()
@@ -62,11 +71,7 @@ class Store:
         from pyspark.sql.types import StructType
 
         schema = StructType.fromJson(json.loads(self.manifest["schemas"][table]))
-        out = None
-        for p in parts:
-            d = self.spark.read.schema(schema).parquet(f"{self.path}/{p}").select(*schema.names)
-            out = d if out is None else out.unionByName(d)
-        return out
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{table}").parquet(*[f"{self.path}/{p}" for p in parts]).select(*schema.names)  # one scan
 
     def bytes_of(self, table: str) -> int:
         return sum(self._fs.getContentSummary(self._path(f"{self.path}/{p}")).getLength() for p in self.manifest.get("tables", {}).get(table, []))

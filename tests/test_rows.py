@@ -116,3 +116,69 @@ def test_stream(spark, tmp_path):
     s = spark.readStream.schema(src.schema).parquet(str(tmp_path / "in"))
     ingest(s, c, str(tmp_path / "ck")).awaitTermination()
     assert sorted(r[0] for r in c.get_all_ids().collect()) == ["a", "b"]
+
+
+def test_commit_is_never_without_a_manifest(spark, tmp_path):
+    """A writer that ends before or after its rename leaves a collection that opens with all its rows."""
+    path = tmp_path / "c"
+    c = Collection(str(path), 128, spark=spark)
+    c.add(["a"], [vec(1)], [""])
+    (path / "manifest.new").write_text("{ half of a")
+    assert Collection(str(path), 128, spark=spark).count() == 1
+    rename = c.store._fs.rename
+
+    class Broken:
+        def __getattr__(self, name):
+            return getattr(fs, name)
+
+        def rename(self, *_):
+            raise OSError("the writer ended")
+
+    fs, c.store._fs = c.store._fs, Broken()
+    with pytest.raises(OSError):
+        c.add(["b"], [vec(2)], [""])
+    again = Collection(str(path), 128, spark=spark)
+    assert again.count() == 1 and again.add(["b"], [vec(2)], [""]) == 1 and rename is not None
+    assert len(list(path.glob("manifest-*.json"))) == 2
+
+
+def test_rows_of_a_shuffled_source_are_numbered_once(spark, tmp_path):
+    c = Collection(str(tmp_path / "c"), 128, spark=spark)
+    d = spark.range(500).selectExpr("cast(id AS string) AS ext_id", "transform(sequence(1, 128), i -> cast(rand() AS float)) AS embedding", "'' AS metadata").repartition(7)
+    assert c.add(d) == 500
+    assert sorted(r[0] for r in c.get_range(0, 1000).select("vec_id").collect()) == list(range(500))
+    assert c.add(d.selectExpr("concat('x', ext_id) AS ext_id", "embedding", "metadata").orderBy("ext_id")) == 500 and c.get_range(500, 500).count() == 500
+
+
+def test_metadata_set_and_indexes_grow(spark, tmp_path):
+    c = Collection(str(tmp_path / "c"), 128, "sq8", spark=spark)
+    assert c.set_metadata(["a"], ["{}"]) == 0
+    c.add([str(i) for i in range(20)], [vec(i) for i in range(20)], [""] * 20)
+    assert c.set_metadata(["3", "none"], ['{"k":1}', "{}"]) == 1 and json.loads(c.get("3")) == {"__id__": "3", "k": 1} and c.metadata_count() == 20
+    assert c.search(vec(3), 1)[0][0] == "3"
+    parts = list(c.store.manifest["tables"]["sq8_codes"])
+    c.add(["in"], [[0.02] * 128], [""])
+    c.search(vec(3), 1)
+    assert c.store.manifest["tables"]["sq8_codes"][:-1] == parts  # appended
+    c.add(["out"], [[9.0] * 128], [""])
+    assert c.search([9.0] * 128, 2)[0][0] in ("out", "in") and len(c.store.manifest["tables"]["sq8_codes"]) == 1  # beyond the range: all again
+    assert c.get_codes(0, 5, "sq8").count() == 5
+
+
+def test_percentiles(spark):
+    d = spark.createDataFrame([(float(x),) for x in (5, 1, 1, 2, 9)] + [(None,)], "x double")
+    assert evaluate.percentiles(d, "x", (0.5, 0.9)).first()[:] == (2.0, 7.4)
+    assert evaluate.percentiles(d.limit(0), "x").first()[:] == (None, None)
+    skewed = spark.range(20000).selectExpr("if(id = 0, 1e9D, cast(id AS double) / 1e6) AS x")
+    assert evaluate.percentile_index(skewed, "x", 50).first()[0] == 10001 / 1e6
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from lodeline.plans import runtime
+
+    class Session:
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        runtime.shared_dir(Session)
