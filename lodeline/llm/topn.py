@@ -3,7 +3,7 @@
 An item's code is (score bits mapped to an integer of the same order, complement of the id), so a greater code is a better item and no
 two items of a group are equal. A round counts, for all unfinished groups at once, the rows in each of 256 equal parts of the
 group's bracket and moves the bracket to the part that holds the N-th best code. Only the rows inside brackets go to the next round, so
-the work falls about 256-fold each time; no group is ever sorted or gathered. When a bracket has shrunk to one score, the same goes on
+the work falls about 256-fold each time; no group is ever sorted or gathered: groups of a hundredth of all rows or more stay where their rows are, and only their brackets move. When a bracket has shrunk to one score, the same goes on
 over the ids. A round's counts are combined before they are shuffled, so a group of any size is a few rows per task.
 """
 
@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeline.operators.skew import HEAVY_SHARE
 from lodeline.plans.runtime import materialize
 
 #: Bits of the code settled in a round.
@@ -51,6 +52,14 @@ def _tighten(state: DataFrame) -> DataFrame:
     return state.select("qid", "need", F.when(tied, F.col("id_lo")).otherwise(F.col("lo")).alias("lo"), F.when(tied, F.col("id_hi")).otherwise(F.col("hi")).alias("hi"), F.when(tied, F.col("lo")).otherwise(F.col("cut")).alias("cut"))
 
 
+def _by_group(rows: DataFrame, few: DataFrame, heavy: list, how: str = "inner") -> DataFrame:
+    """A join by qid whose heavy groups don't move: their rows of ``few`` (one for each, so at most as many as ``heavy``) go to all tasks; the light groups are shuffled."""
+    if not heavy:
+        return rows.join(few, "qid", how)
+    own = F.col("qid").isin(heavy)
+    return rows.where(own).join(F.broadcast(few.where(own)), "qid", how).union(rows.where(~own).join(few.where(~own), "qid", how))
+
+
 def top_n(items: DataFrame, n: int = 10) -> DataFrame:
     """``qid, vec_id, score`` of the n items with the highest score in each qid (all, if fewer), ties by smaller vec_id.
 
@@ -61,12 +70,15 @@ def top_n(items: DataFrame, n: int = 10) -> DataFrame:
     base = materialize(items.select("qid", "vec_id", "score", code("score").alias("s"), F.bitwise_not("vec_id").alias("i")), "items")
     # A bracket [lo, hi] is one of scores while cut is null, then one of ids at the score cut; need of its rows are taken.
     ends = [F.min("s").alias("lo"), F.max("s").alias("hi"), F.min("i").alias("id_lo"), F.max("i").alias("id_hi")]
-    state = base.groupBy("qid").agg(F.count(F.lit(1)).alias("c"), *ends).where(F.col("c") > n)
+    state = materialize(base.groupBy("qid").agg(F.count(F.lit(1)).alias("c"), *ends).where(F.col("c") > n), "groups")
+    groups = state
     state = _tighten(state.withColumns({"need": F.lit(n).cast("long"), "cut": F.lit(None).cast("long")}))
+    # Groups of a hundredth of all rows or more: at most a hundred.
+    heavy = [r.qid for r in groups.where(F.col("c") >= max(1, HEAVY_SHARE * base.count())).select("qid").collect()]
     code_col = F.when(F.col("cut").isNull(), F.col("s")).otherwise(F.col("i"))
     active, found = base.select("qid", "s", "i"), []
     while True:
-        rows = active.join(state, "qid").where(code_col.between(F.col("lo"), F.col("hi")) & (F.col("cut").isNull() | (F.col("s") == F.col("cut"))))
+        rows = _by_group(active, state, heavy).where(code_col.between(F.col("lo"), F.col("hi")) & (F.col("cut").isNull() | (F.col("s") == F.col("cut"))))
         shift = F.greatest(F.lit(0), _bits(F.col("lo"), F.col("hi")) - BITS).cast("int")
         rows = materialize(rows.select("qid", "s", "i", "need", "cut", _shifted(code_col, shift).alias("part")), "bracket")
         ends = [F.min(code_col).alias("lo"), F.max(code_col).alias("hi"), F.min("i").alias("id_lo"), F.max("i").alias("id_hi")]
@@ -83,4 +95,4 @@ def top_n(items: DataFrame, n: int = 10) -> DataFrame:
     for f in found[1:]:
         cutoffs = cutoffs.union(f)
     above = (F.col("s") > F.col("cut_s")) | ((F.col("s") == F.col("cut_s")) & (F.col("cut_i").isNull() | (F.col("i") >= F.col("cut_i"))))
-    return base.join(cutoffs, "qid", "left").where(F.col("cut_s").isNull() | above).select("qid", "vec_id", "score")
+    return _by_group(base, materialize(cutoffs, "cutoffs"), heavy, "left").where(F.col("cut_s").isNull() | above).select("qid", "vec_id", "score")
