@@ -6,8 +6,8 @@ be expected) and until it has met ``PROBES`` cells that hold vectors. The entrie
 
 For all vectors at once: cells that lie together form groups of about ``GROUP`` entries or fewer; a vector is sent to the group of its own
 cell, as entry and query, and as a query to each other group of which it walks a cell. A group's cells are scored as blocks of a
-matrix product. A cell with more entries than ``HOT`` is spread over several groups of its own, all of which its queries visit,
-so nothing is cut. Vectors of equal content are one row of the products, and travel as one row for each batch, whatever their number.
+matrix product. A cell with more entries than ``HOT`` is cut into blocks of entries and of queries, with a group for each pair of blocks, so that no group
+holds more than a block of either, and nothing is cut. Vectors of equal content are one row of the products, and travel as one row for each batch, whatever their number.
 
 The walk is made for neighbours of score 0.9 or more. ``knn_lists`` gives the k nearest of all vectors: those whose k-th one lies beyond the walk's
 reach are scored against every vector, from the score that the index found for them.
@@ -35,7 +35,7 @@ MOST_CENTROIDS = 1024
 PROBES = 4
 #: Squared distance of unit vectors of score 0.9.
 REACH = 0.4
-#: Nearest half centroids whose pairs the walk covers.
+#: Nearest half centroids whose pairs the walk covers, at least; all that can be within reach are.
 NEAREST = 32
 GROUP = 24576
 HOT = 32768
@@ -116,14 +116,17 @@ class MultiIndex:
                     self._new(sub)
 
     def _new(self, members: np.ndarray, width: int = 1) -> None:
+        """A cell of ``width`` blocks has a group for each block of entries and each block of queries."""
         self.first[members] = self.groups
         self.spread[members] = width
-        self.groups += width
+        self.groups += width * width
 
     def probed(self, v: np.ndarray, probes: int, reach: float) -> list[list[int]]:
         """The held cells that each vector walks, nearest first."""
         d1, d2 = self.halves(v)
-        n = min(NEAREST, self.k)
+        # As many of each half as can be within reach of any of these vectors, with the nearest of the other half.
+        within = max(int((a <= reach - b.min(1)[:, None]).sum(1).max()) for a, b in ((d1, d2), (d2, d1))) + 1
+        n = min(max(NEAREST, within), self.k)
 
         def shortlist(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             at = np.argpartition(d, n - 1, axis=1)[:, :n] if n < self.k else np.tile(np.arange(self.k), (len(d), 1))
@@ -177,15 +180,19 @@ def _routed(ids: list[np.ndarray], own: np.ndarray, raw: list[bytes], probed: li
     grp, home, ident, vec, probes = [], [], [], [], []
     for i, cells in enumerate(probed):
         at: dict[int, list[int]] = {}
+        block = hash_id(int(ids[i][0]))
         for c in cells:
-            for g in range(first[c], first[c] + spread[c]):
-                at.setdefault(g, []).append(c)
+            wide = int(spread[c])
+            for e in range(wide):  # a query meets all blocks of entries, in the groups of its own block of queries
+                at.setdefault(int(first[c]) + e * wide + block % wide, []).append(c)
         o = int(own[i])
-        mine = int(first[o]) + (hash_id(int(ids[i][0])) % int(spread[o]) if spread[o] > 1 else 0)
-        at.setdefault(mine, [])
+        wide = int(spread[o])
+        mine = {int(first[o]) + block % wide * wide + j for j in range(wide)}  # an entry meets all blocks of queries
+        for g in mine:
+            at.setdefault(g, [])
         for g, cs in at.items():
             grp.append(g)
-            home.append(o if g == mine else -1)
+            home.append(o if g in mine else -1)
             ident.append(ids[i].tobytes())
             vec.append(raw[i])
             probes.append(np.array(cs, np.int32).tobytes())
@@ -282,14 +289,15 @@ def score_group(packed_ids: list[bytes], home: np.ndarray, raw: list[bytes], pro
     return ids[who[keep]], fid[pos[keep]], fs[pos[keep]]
 
 
-def knn(vectors: DataFrame, k: int = 5, min_score: float = 0.0, dim: int = 128, probes: int = PROBES, reach: float = REACH, group: int = GROUP, hot: int = HOT) -> DataFrame:
+def knn(vectors: DataFrame, k: int = 5, min_score: float = 0.0, dim: int = 128, probes: int = PROBES, reach: float | None = None, group: int = GROUP, hot: int = HOT) -> DataFrame:
     """``vec_id, neighbour, rk, score``: of each vector the k other vectors of highest score (at least ``min_score``) that the index finds,
     scores rounded to 9 decimals, of equal ones the smaller id first.
 
     vectors: ``vec_id, embedding`` as given by ``usable`` (ids unique, vectors finite and not zero). Other columns don't matter. No
     vectors, or one, give no rows; copies are each other's neighbours. The search is approximate: pairs of the score that ``reach``
-    stands for are found nearly always, far ones (of vectors that resemble nothing) with the effort ``probes``; ``knn_lists`` has all.
+    stands for (if it isn't given, the squared distance of two vectors of score ``min_score``, or REACH without one) are found nearly always, far ones (of vectors that resemble nothing) with the effort ``probes``; ``knn_lists`` has all.
     Driver: it holds the sample and a count for each cell, at most MOST_CENTROIDS squared."""
+    reach = reach if reach is not None else 4 * (1 - min_score) if min_score > 0 else REACH
     return _walked(_packed(vectors, dim), k, min_score, dim, probes, reach, group, hot)
 
 
