@@ -1,7 +1,7 @@
 """Mixing sources to target weights (problem 7).
 
-Every source is cut into a fixed number of blocks by a hash of the record id, so that all planning works on
-(source, block) totals, whose number doesn't grow with the data, and the records themselves never move for it.
+Every source is cut into blocks by a hash of the record id, several for each output shard, so that all planning works on
+(source, block) totals, and the records themselves never move for it.
 Per source the wanted number of tokens becomes a quota of block draws: whole repeats, then blocks of one more repeat in
 a random order while they fit. A splitting tree hands the quotas to the output shards: at each node the draws of
 all sources are divided between the halves of the shards by a multivariate hypergeometric draw, so that each shard's
@@ -15,14 +15,15 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeline.llm.encode import count_tokens
 from lodeline.plans.runtime import materialize
 
-#: Blocks of a source: how finely its last repeat can be cut (a block is 1/1024 of it), and the bound of the plan.
-BLOCKS = 1024
+#: Blocks of a source, at least (how finely its last repeat can be cut), and for each output shard.
+BLOCKS, BLOCKS_A_SHARD = 1024, 8
 #: Tokens of the corpus for each output shard, where the number of shards isn't given (at least 16).
 SHARD_TOKENS = 1 << 30
 
@@ -41,6 +42,7 @@ class Mixture:
     sizes: DataFrame  # doc_id, source, n_tokens
     report: DataFrame  # a row for each target
     draws: DataFrame  # mix_id, source, block, copy, shard: each block draw
+    blocks: int
 
 
 def sizes_of(documents: DataFrame, path: str | None = None) -> DataFrame:
@@ -67,7 +69,7 @@ def split_quotas(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> n
     return out
 
 
-def plan_mixtures(documents: DataFrame, targets: DataFrame, shards: int | None = None, seed: int = 7, blocks: int = BLOCKS, path: str | None = None) -> Mixture:
+def plan_mixtures(documents: DataFrame, targets: DataFrame, shards: int | None = None, seed: int = 7, blocks: int | None = None, path: str | None = None) -> Mixture:
     """Plan every mixture of ``targets`` (``mix_id, size_ratio, source, weight, max_repeats``).
 
     The target of a row is weight / (sum of its mix's weights) x size_ratio x tokens of all documents; documents of other or
@@ -76,9 +78,10 @@ def plan_mixtures(documents: DataFrame, targets: DataFrame, shards: int | None =
     for itself. A source without documents, an empty table of documents or of targets give draws of nothing.
 
     report: ``mix_id, source, weight, max_repeats, source_tokens, target_tokens, target_share, actual_tokens, actual_share, max_repeat,
-    short``; ``short`` says that max_repeats x tokens of the source stay below the target.
+    short``; ``short`` says that all repeats of all blocks of the source were drawn, and stay below the target.
 
-    Driver: it holds targets x ``blocks`` totals and draws (targets is a table of settings; its size is what bounds this).
+    Driver: it holds a total for each target (a table of settings) and block, and 8 bytes for each of the draws, which are the blocks times the repeats that a target takes. There are ``blocks`` of a
+    source: BLOCKS, or BLOCKS_A_SHARD for each GB of tokens.
     """
     spark = documents.sparkSession
     t = targets.select("mix_id", "size_ratio", source_key(F.col("source")).alias("source"), F.col("weight").cast("double"), "max_repeats").collect()
@@ -86,13 +89,15 @@ def plan_mixtures(documents: DataFrame, targets: DataFrame, shards: int | None =
     wanted = sorted({r.source for r in t if r.source is not None})
     sizes = materialize(sizes_of(documents, path), "sizes")
     key = F.when(F.col("source").isin(wanted), F.col("source")) if wanted else F.lit(None).cast("string")
-    per_block = sizes.groupBy(key.alias("source"), block_of(F.col("doc_id"), blocks).alias("block")).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).collect()
-    total = sum(r.tokens for r in per_block)
+    total = sizes.agg(F.sum("n_tokens")).first()[0] or 0
     shards = shards or max(16, math.ceil(total / SHARD_TOKENS))
+    blocks = blocks or max(BLOCKS, BLOCKS_A_SHARD * shards)
+    per_block = sizes.where(key.isNotNull()).groupBy(key.alias("source"), block_of(F.col("doc_id"), blocks).alias("block")).agg(F.sum("n_tokens").alias("tokens")).toArrow()
+    own_source, own_block, own_tokens = per_block["source"].to_numpy(zero_copy_only=False), per_block["block"].to_numpy(), per_block["tokens"].to_numpy()
     tokens = {s: np.zeros(blocks, np.int64) for s in wanted}
-    for r in per_block:
-        if r.source is not None:
-            tokens[r.source][r.block] = r.tokens
+    for s in wanted:
+        at = own_source == s
+        tokens[s][own_block[at]] = own_tokens[at]
 
     report, draws = [], []
     for mix in dict.fromkeys(r.mix_id for r in t):
@@ -115,19 +120,17 @@ def plan_mixtures(documents: DataFrame, targets: DataFrame, shards: int | None =
                 if n < len(order) and upto[n] - left < left - (upto[n - 1] if n else 0):
                     n += 1  # the next block brings the sum nearer
                 part = order[:n]
-            pairs = [(b, c) for c in range(whole) for b in order] + [(b, whole) for b in part]
-            drawn.append(pairs)
+            drawn.append((np.concatenate([np.tile(order, whole), part]).astype(np.int32), np.concatenate([np.repeat(np.arange(whole), len(order)), np.full(len(part), whole)]).astype(np.int32)))
             got = whole * have + int(own[part].sum())
-            short = most * have < goal if goal is not None and r.max_repeats is not None else False
+            short = r.max_repeats is not None and goal is not None and len(drawn[-1][0]) == most * len(order) and got < goal
             report.append([mix, r.source, r.weight, r.max_repeats, have, goal, share, got, None, whole + bool(len(part)), short])
         mixed = sum(x[7] for x in report[-len(rows) :])
         for x in report[-len(rows) :]:
             x[8] = x[7] / mixed if mixed else None
-        quota = split_quotas(np.array([len(p) for p in drawn]), shards, rng)
-        for j, (r, pairs) in enumerate(zip(rows, drawn)):
-            at = np.repeat(np.arange(shards), quota[:, j])
-            for s, k in zip(at.tolist(), rng.permutation(len(pairs)).tolist()):
-                draws.append((mix, r.source, int(pairs[k][0]), int(pairs[k][1]), s))
+        quota = split_quotas(np.array([len(b) for b, _ in drawn]), shards, rng)
+        for j, (r, (block, copy)) in enumerate(zip(rows, drawn)):
+            o = rng.permutation(len(block))
+            draws.append(pa.table({"mix_id": pa.array([mix] * len(o), pa.int64()), "source": pa.array([r.source] * len(o), pa.string()), "block": block[o], "copy": copy[o], "shard": np.repeat(np.arange(shards, dtype=np.int32), quota[:, j])}))
     id_type = targets.schema["mix_id"].dataType.simpleString()
     return Mixture(
         sizes,
@@ -136,14 +139,15 @@ def plan_mixtures(documents: DataFrame, targets: DataFrame, shards: int | None =
             f"mix_id {id_type}, source string, weight double, max_repeats {targets.schema['max_repeats'].dataType.simpleString()}, source_tokens bigint, target_tokens double, target_share double, "
             "actual_tokens bigint, actual_share double, max_repeat int, short boolean",
         ),
-        spark.createDataFrame(draws, f"mix_id {id_type}, source string, block int, copy int, shard int"),
+        (spark.createDataFrame(pa.concat_tables(draws).combine_chunks()) if draws else spark.createDataFrame([], "mix_id bigint, source string, block int, copy int, shard int")).withColumn("mix_id", F.col("mix_id").cast(id_type)),
+        blocks,
     )
 
 
-def drawn_records(m: Mixture, blocks: int = BLOCKS, seed: int = 7) -> DataFrame:
-    """``mix_id, shard, pos, doc_id, source, copy, n_tokens``: every drawn record, pos its place in its shard. The plan's size is
-    bounded (see above), so the join doesn't move the records; they go once to their shard and are ordered there."""
-    s = m.sizes.where(F.col("source").isNotNull()).withColumn("block", block_of(F.col("doc_id"), blocks))
+def drawn_records(m: Mixture, seed: int = 7) -> DataFrame:
+    """``mix_id, shard, pos, doc_id, source, copy, n_tokens``: every drawn record, pos its place in its shard. Records go once to their shard, of about
+    SHARD_TOKENS, and are ordered there."""
+    s = m.sizes.where(F.col("source").isNotNull()).withColumn("block", block_of(F.col("doc_id"), m.blocks))
     d = s.join(m.draws, ["source", "block"])
     w = Window.partitionBy("mix_id", "shard").orderBy(F.xxhash64(F.lit(seed), "mix_id", "doc_id", "copy"), "doc_id", "copy")
     return d.select("mix_id", "shard", F.row_number().over(w).alias("pos"), "doc_id", "source", "copy", "n_tokens")
