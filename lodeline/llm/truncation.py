@@ -3,8 +3,9 @@
 Lengths are recomputed as other systems count them (characters, bytes, UTF-16 units, escaped for XML or JSON, with other line ends), and the records of each
 source are counted by each of them: a value that holds many more records than its surroundings is a hidden limit of that source. Then
 endings are inspected. Trailing lines that a publisher or a page adds are set aside; what ends then with a whole sentence or with a
-closing line (signature, seal, date, citation, note) is complete. Closing lines are known by form, or as lines whose skeleton
-(capitalised words and digits made alike) ends a noticeable share of all records. What ends in the middle of a word or sentence, or with a
+closing line (signature, seal, date, citation, note) is complete. A closing line is a short line of its own after a whole sentence or another one, without a paragraph's
+number, that opens as no paragraph of the corpus does (the first two words of all longer lines, and of short last ones, are counted); or one whose skeleton
+(capitalised words and digits made alike) ends a noticeable share of all records; or of a known form. What ends in the middle of a word or sentence, or with a
 mark of omission, is cut; at a limit of its source, an ending that would pass as a sentence only by an abbreviation's full stop is too.
 """
 
@@ -29,26 +30,13 @@ PUBLISHER_LINES = (
     r"Page \d+ of \d+",
     r".* · \p{Lu}{3}-\p{Lu}\d\d .*",
 )
-# Forms of lines that close a decision, as regular expressions of a whole line.
+# Forms of lines that close a decision, as regular expressions of a whole line: a note in brackets, a label of one word and what it names, place and date, a signature.
 CLOSING_LINES = (
     r"\[\p{L}[^\]]*\]",
     r"\(\p{L}[^()]*\)",
-    r"(?:Parties|Solicitors|Cited|Corr\.) ?:.*",
-    r"Seal of .*",
-    r"Given at .*",
-    r"Fait à .*",
-    r"En .*, a [\d.]+",
-    r"[\p{Lu}][^,;:]{1,40},(?: den| le| a)? [\d.]+\d",
-    r"Doy fe",
-    r"Pour expédition conforme",
-    r"Ausgefertigt:.*",
-    r"I agree\. .*",
-    r"\(signed\) .*",
-    r"gez\. .*",
-    r"Firmado: .*",
-    r"Le président ?:.*",
-    r"Ο Πρόεδρος .*",
-    r"\p{Lu}\. \S+(?:, .*)?",
+    r"\p{Lu}[\p{L}.]{1,14} ?: (?:(?! \p{Ll}{4,} \p{Ll}).)*",
+    r"\p{Lu}[^,;:]{1,40},(?: \p{L}{1,3})? [\d.]+\d",
+    r"(?:\S+ ){0,4}\p{Lu}\. \p{Lu}\S+(?:, .*)?",
 )
 # Abbreviations whose full stop ends no sentence.
 ABBREVIATIONS = ("Ost", "Rep", "Keld", "Civ", "Morv", "App", "para", "vgl", "voir", "Nr", "No", "Art", "art", "S", "p", "pp", "v", "c", "gez", "Corr", "Abs", "Rn")
@@ -58,6 +46,10 @@ NOTICE = 80
 #: A limit holds at least so many records of its source, and this many times what the lengths around it hold.
 LEAST_AT_LIMIT, TIMES = 5, 10.0
 AROUND = 64
+#: Words of a line beyond which it is a paragraph of the decision, not a closing line.
+SHORT = 8
+# Fixed value: the number before a paragraph.
+_NUMBER = r"^(?:\p{L}{1,4}\.? ?)?[\[(§]* ?\d+[\])]?[.)]? +(?=[\p{L}\[(])"
 #: A skeleton that ends this share of all records (and LEAST_AT_LIMIT of them) is a closing line.
 CLOSING_SHARE = 0.001
 
@@ -97,8 +89,17 @@ def _any(forms: tuple[str, ...]) -> str:
     return "^(?:" + "|".join(forms) + ")$"
 
 
+def words(line: Column) -> Column:
+    return F.regexp_count(line, F.lit(r"\S+"))
+
+
+def opening(line: Column) -> Column:
+    """The first two words of a line, without a paragraph's number."""
+    return F.regexp_extract(F.regexp_replace(line, _NUMBER, ""), r"^(\S+(?: \S+)?)", 1)
+
+
 def endings(documents: DataFrame) -> DataFrame:
-    """``doc_id, source, lens, last, tail, one_line``: the last line of each text that no publisher or page added (null if the text is
+    """``doc_id, source, lens, last, tail, one_line, before, openings`` (of the longer lines but the last): the last line of each text that no publisher or page added (null if the text is
     null or blank), also with up to two lines before it (for scans that wrap lines)."""
     lines = F.filter(F.transform(F.split(F.col("text"), r"[\r\n\u0085  ]+"), lambda x: F.regexp_replace(x, r"(?U)^[\s ﻿]+|[\s ﻿]+$", "")), lambda x: x != "")
     d = documents.select("doc_id", source_key(F.col("source")).alias("source"), "text").withColumn("lines", lines)
@@ -113,6 +114,8 @@ def endings(documents: DataFrame) -> DataFrame:
         F.when(F.size("lines") > 0, F.element_at("lines", F.col("at"))).alias("last"),
         F.when(F.size("lines") > 0, F.array_join(F.slice("lines", start, F.col("at") - start + 1), " ")).alias("tail"),
         (F.size("lines") == 1).alias("one_line"),
+        F.when(F.col("at") > 1, F.element_at("lines", F.greatest(F.col("at") - 1, F.lit(1)))).alias("before"),
+        F.array_distinct(F.transform(F.filter("lines", lambda x, i: (i + 1 != F.col("at")) & (F.length(x) > 4 * SHORT) & (words(x) > SHORT)), opening)).alias("openings"),
     )
 
 
@@ -133,10 +136,18 @@ def inspect(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     usual = kind.where((F.col("n") >= max(LEAST_AT_LIMIT, CLOSING_SHARE * total)) & F.col("skeleton").rlike(r"\p{L}") & ~F.col("skeleton").rlike(r"(?:\.\.\.|…|\[more\])$")).select("skeleton", F.lit(True).alias("usual"))
     at = e.select("doc_id", F.col("source").alias("s"), F.explode("lens").alias("m", "len"))
     at = at.join(limits, at["s"].eqNullSafe(limits["source"]) & (at["m"] == limits["measure"]) & (at["len"] == limits["length"])).select("doc_id").distinct().withColumn("at_limit", F.lit(True))
-    d = e.withColumn("skeleton", skeleton(F.col("last"))).join(usual, "skeleton", "left").join(at, "doc_id", "left")
+    # An opening is one of paragraphs if it opens longer lines in more records than it opens short last lines.
+    longer = e.select(F.explode("openings").alias("opening")).groupBy("opening").agg(F.count(F.lit(1)).alias("n"))
+    short = e.where(words(F.col("last")) <= SHORT).groupBy(opening(F.col("last")).alias("opening")).agg(F.count(F.lit(1)).alias("m"))
+    body = longer.join(short, "opening", "left").where(F.col("n") > F.coalesce("m", F.lit(0))).select("opening", F.lit(True).alias("body"))
+    d = e.drop("openings", "lens").withColumn("skeleton", skeleton(F.col("last"))).withColumn("opening", opening(F.col("last")))
+    d = d.join(usual, "skeleton", "left").join(body, "opening", "left").join(at, "doc_id", "left")
     last, at_limit = F.col("last"), F.coalesce("at_limit", F.lit(False))
-    wrapped = F.col("tail").rlike(r"(?:^|[.!?)\]] )(?:Parties|Solicitors|Cited) ?: (?:(?! [a-z]{4,}).)*$") & ~at_limit
-    closing = last.rlike(_any(CLOSING_LINES)) | wrapped | (F.coalesce("usual", F.lit(False)) & ~at_limit)
+    wrapped = F.col("tail").rlike(r"(?:^|[.!?)\]] )\p{Lu}\p{L}{2,14} ?: (?:(?! \p{Ll}{4,}).)*$") & ~at_limit
+    before = F.col("before")
+    after_whole = before.isNull() | before.rlike(r"[.!?;:][\"'”’»)\]]*$") | ((words(before) <= SHORT) & ~before.rlike(_NUMBER))
+    own_line = (words(last) <= SHORT) & last.rlike(r"^(?:\p{Lu}|[\[(\"'“«]\p{L})") & ~last.rlike(_NUMBER) & ~last.rlike(r"[-,–]$") & after_whole & F.col("body").isNull() & ~at_limit
+    closing = own_line | (last.rlike(_any(CLOSING_LINES)) & ~last.rlike(_NUMBER)) | wrapped | (F.coalesce("usual", F.lit(False)) & ~at_limit)
     omitted = last.rlike(r"(?:\.\.\.|…|\[more\]|\[\.\.\.\]|\[…\]|\(more\)|�)$")
     sentence = last.rlike(r"[.!?;][\"'”’»)\]]*$") & ~last.rlike(r"^[\[(§ ]*\d+[\])]?\.?$")
     short_stop = last.rlike(r"(?<![\p{L}\d])(?:" + "|".join(ABBREVIATIONS) + r"|T\.Z\.R|T\.Z|T)\.$")

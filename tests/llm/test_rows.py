@@ -58,6 +58,8 @@ def test_mixture(spark):
     assert r[2, "b"].short and r[2, "b"].actual_tokens == 5000 and r[2, "b"].actual_share == 1.0
     assert r[3, "none"].short and r[3, "none"].actual_tokens == 0 and not r[3, "b"].short and r[3, "b"].actual_tokens == 10000
     drawn = mixing.drawn_records(m).collect()
+    for x in m.report.collect():
+        assert x.actual_tokens == sum(r.n_tokens for r in drawn if (r.mix_id, r.source) == (x.mix_id, x.source))
     for k, x in r.items():
         own = [y for y in drawn if (y.mix_id, y.source) == k]
         assert sum(y.n_tokens for y in own) == x.actual_tokens
@@ -104,6 +106,16 @@ def test_endings(spark):
     assert truncation.truncated(d.limit(0)).count() == 0
 
 
+def test_endings_of_another_corpus(spark):
+    """Closing lines in words that are in no list; body lines of the same corpus open as its cut ones do."""
+    last = ["By order of the court", "So ordered by the full bench", "Per curiam", "Clerk of the Court", "Dated this third day of May", "Der Vorsitzende Richter", "Registrar in chambers", "Note: 4 exhibits", "Witnessed by Q. Abcdef"]
+    body = ["The harbour master had not given the ship any notice of the new tariff.", "On the facts the pilot was bound by what the owner had told him.", "Mangels einer Frist war der Antrag des Reeders in jedem Fall noch zulässig."]
+    cut = ["The harbour master had not gi", "On the facts the pilot", "Mangels einer Frist w"]
+    rows = [(i, "In re Q\n" + "\n".join(body) + "\n" + x) for i, x in enumerate(last)] + [(50, "In re Q\n" + "\n".join(body))] + [(100 + i, "In re Q\n" + body[i] + "\n" + x) for i, x in enumerate(cut)]
+    d = spark.createDataFrame([(i, t, "s") for i, t in rows], DOCS)
+    assert sorted(r.doc_id for r in truncation.truncated(d).collect()) == [100, 101, 102]
+
+
 def test_hidden_limits(spark):
     rnd = random.Random(1)
     word = lambda n: " ".join(rnd.choice(["lease", "claim", 'a "b"', "é"]) for _ in range(n))
@@ -122,3 +134,14 @@ def test_lengths(spark, text, want):
 
     d = spark.createDataFrame([(text,)], "text string").select(*[c.alias(k) for k, c in truncation.lengths(F.col("text")).items()]).first()
     assert {k: d[k] for k in want} == want
+
+
+def test_half_of_all_items_in_one_group(spark):
+    """The heavy group's items aren't shuffled by their group."""
+    rows = [(0 if i % 2 else 1 + i % 40, i, float((i * 7919) % 501)) for i in range(4000)]
+    d = spark.createDataFrame(rows, "qid bigint, vec_id bigint, score double")
+    got = sorted((r.qid, r.vec_id) for r in topn.top_n(d, 10).collect())
+    want = []
+    for q in {r[0] for r in rows}:
+        want += [(q, v) for _, v in sorted((-s, v) for g, v, s in rows if g == q)[:10]]
+    assert got == sorted(want)
