@@ -95,18 +95,21 @@ def test_pq(spark, data):
     assert np.mean([i in got[i] for i in range(20)]) > 0.9
 
 
-def test_kmeans_and_ivf(spark, data, monkeypatch):
+def test_kmeans_and_ivf(spark, data, tmp_path):
     d, x = data
     c = kmeans.lloyd(d, kmeans.first_vectors(d, 8), 5)
     assert c.shape == (8, 32)
     cids = np.arange(8)
     cells = ivf.with_cell(d, cids, c)
-    monkeypatch.setattr(ivf, "BLOCK_ROWS", 20)  # cells are spread over blocks
     q = queries(spark, x[:20])
     whole = lists(ivf.search(cells, cids, c, q, 5, 8))
     assert all(whole[i] == w for i, w in enumerate(brute(x, x[:20], 5)))
     part = ivf.search(cells, cids, c, q, 5, 2)
     assert part.groupBy("qid").count().count() == 20
+    cells.write.partitionBy("cid").parquet(str(tmp_path / "cells"))
+    one = ivf.search(spark.read.parquet(str(tmp_path / "cells")), cids, c, queries(spark, x[:1]), 5, 2)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cid" in plan and plan.count("Exchange hashpartitioning") == 1  # only the tasks' lists are shuffled
 
 
 def test_hnsw_fixture(spark):
