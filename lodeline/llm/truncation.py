@@ -46,8 +46,8 @@ NOTICE = 80
 #: A limit holds at least so many records of its source, and this many times what the lengths around it hold.
 LEAST_AT_LIMIT, TIMES = 5, 10.0
 AROUND = 64
-#: Words of a line beyond which it is a paragraph of the decision, not a closing line.
-SHORT = 8
+#: Words of a line beyond which it is no closing line of its own; characters beyond which it is a paragraph of the decision.
+SHORT, LONG = 8, 60
 # Fixed value: the number before a paragraph.
 _NUMBER = r"^(?:\p{L}{1,4}\.? ?)?[\[(§]* ?\d+[\])]?[.)]? +(?=[\p{L}\[(])"
 #: A skeleton that ends this share of all records (and LEAST_AT_LIMIT of them) is a closing line.
@@ -115,7 +115,7 @@ def endings(documents: DataFrame) -> DataFrame:
         F.when(F.size("lines") > 0, F.array_join(F.slice("lines", start, F.col("at") - start + 1), " ")).alias("tail"),
         (F.size("lines") == 1).alias("one_line"),
         F.when(F.col("at") > 1, F.element_at("lines", F.greatest(F.col("at") - 1, F.lit(1)))).alias("before"),
-        F.array_distinct(F.transform(F.filter("lines", lambda x, i: (i + 1 != F.col("at")) & (F.length(x) > 4 * SHORT) & (words(x) > SHORT)), opening)).alias("openings"),
+        F.array_distinct(F.transform(F.filter("lines", lambda x, i: (i + 1 != F.col("at")) & (F.length(x) > LONG)), lambda x: opening(F.substring(x, 1, LONG)))).alias("openings"),
     )
 
 
