@@ -1,21 +1,20 @@
 """The k most similar vectors of every vector (problem 2), by an inverted multi-index.
 
-Unit vectors are quantised half by half; a cell is a pair of half centroids. A query walks the pairs in the order of their summed
-squared distance, with a heap, as long as the pairs are within ``REACH`` (where a vector of score 0.9 or more can
-be expected) and until it has met ``PROBES`` cells that hold vectors. The entries of all cells it met are reranked by the exact score.
+Unit vectors are quantised half by half; a cell is a pair of half centroids. Cells that lie together form groups of about ``GROUP`` entries or fewer. A vector
+goes to the group of the nearest mean and to each other whose mean is hardly farther: by how much follows from the sample, so that a vector visits
+``VISITS`` groups in the mean, whatever the number of vectors. All vectors that meet in a group are entries and queries there, home or not, so a pair is found
+where any two of their groups are the same. In the group the same is done again with leaves around centroids of its own rows; vectors that meet in a leaf are scored in single precision, and
+those that may be among the best are reranked by the exact score.
 
-For all vectors at once: cells that lie together form groups of about ``GROUP`` entries or fewer; a vector is sent to the group of its own
-cell, as entry and query, and as a query to each other group of which it walks a cell. A group's cells are scored as blocks of a
-matrix product. A cell with more entries than ``HOT`` is cut into blocks of entries and of queries, with a group for each pair of blocks, so that no group
+A cell with more entries than ``HOT`` is cut into blocks of entries and of queries, with a group for each pair of blocks, so that no group
 holds more than a block of either, and nothing is cut. Vectors of equal content are one row of the products, and travel as one row for each batch, whatever their number.
 
-The walk is made for neighbours of score 0.9 or more. ``knn_lists`` gives the k nearest of all vectors: those whose k-th one lies beyond the walk's
+The visits are made for neighbours of score 0.9 or more. ``knn_lists`` gives the k nearest of all vectors: those whose k-th one lies beyond that
 reach are scored against every vector, from the score that the index found for them.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -32,13 +31,21 @@ from lodeline.plans.runtime import materialize, parallelism
 SAMPLE = 32768
 #: Half centroids at most; there are about as many as the square root of the number of vectors.
 MOST_CENTROIDS = 1024
-PROBES = 4
+#: Groups that a vector visits in the mean.
+VISITS = 3.3
+#: Vectors of the sample from which the width of the border follows.
+ASKED = 4096
 #: Squared distance of unit vectors of score 0.9.
 REACH = 0.4
-#: Nearest half centroids whose pairs the walk covers, at least; all that can be within reach are.
-NEAREST = 32
 GROUP = 24576
 HOT = 32768
+#: Contents of a leaf, about, and the leaves that one visits in the mean.
+LEAF = 256
+LEAVES = 4
+#: Rows of a group on which its leaves are fitted, at most.
+FITTED = 8192
+#: Near entries of a query in a leaf, up to which all are reranked one by one.
+FEW = 64
 #: Elements of a block of scores.
 BLOCK = 1 << 20
 #: Bytes of vectors that are scored against all others in one pass.
@@ -59,22 +66,6 @@ def as_matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def walk(d1: np.ndarray, d2: np.ndarray, held, probes: int, reach: float) -> list[tuple[int, int]]:
-    """Positions (a, b) of the held pairs met, in the order of d1[a] + d2[b]. d1, d2: ascending."""
-    heap, out, na, nb = [(d1[0] + d2[0], 0, 0)], [], len(d1), len(d2)
-    while heap:
-        d, a, b = heapq.heappop(heap)
-        if d > reach and len(out) >= probes:
-            break
-        if held(a, b):
-            out.append((a, b))
-        if b + 1 < nb:
-            heapq.heappush(heap, (d1[a] + d2[b + 1], a, b + 1))
-        if b == 0 and a + 1 < na:
-            heapq.heappush(heap, (d1[a + 1] + d2[0], a + 1, 0))
-    return out
-
-
 class MultiIndex:
     """The half centroids, and where the entries of each cell are."""
 
@@ -95,53 +86,74 @@ class MultiIndex:
         return nearest(x[:, : self.half], self.c1)[0] * self.k + nearest(x[:, self.half :], self.c2)[0]
 
     def place(self, cells: np.ndarray, counts: np.ndarray, group: int = GROUP, hot: int = HOT) -> None:
-        """first[cell]: its first group, or -1; spread[cell]: over how many groups. The pairs that a query walks share their first or their
-        second centroid, so the cells of a first centroid stay together, with those of centroids like it; only a first centroid of more entries
+        """Places, which are sets of cells, with a group each (a hot cell is a place with a group for each pair of blocks): place[cell], or -1; first[place], its first group;
+        spread[place], its number of blocks; mean[place]. The cells of a first centroid stay together, with those of centroids like it; only a first centroid of more entries
         than a group is divided by its second ones."""
-        self.first = np.full(self.k * self.k, -1, np.int32)
-        self.spread = np.ones(self.k * self.k, np.int32)
-        self.groups = 0
+        self.of = np.full(self.k * self.k, -1, np.int32)
+        first, spread, mean = [], [], []
+
+        def new(at: np.ndarray, blocks: int = 1) -> None:
+            self.of[cells[at]] = len(first)
+            first.append(first[-1] + spread[-1] ** 2 if first else 0)
+            spread.append(blocks)
+            mean.append(np.average(self.centres(cells[at]), axis=0, weights=counts[at]))
+
         mass = np.bincount(cells // self.k, weights=counts, minlength=self.k)
         for part in _halved(np.flatnonzero(mass), mass[mass > 0], lambda i: self.c1[i], group):
-            mine = np.isin(cells // self.k, part)
+            mine = np.flatnonzero(np.isin(cells // self.k, part))
             if counts[mine].sum() <= group:
-                self._new(cells[mine])
+                new(mine)
                 continue
-            c, n = cells[mine], counts[mine]
-            for one, size in zip(c[n > hot], n[n > hot]):
-                self._new(np.array([one]), int(math.ceil(size / hot)))
-            small = n <= hot
-            if small.any():
-                for sub in _halved(c[small], n[small], lambda m: self.c2[m % self.k], group):
-                    self._new(sub)
-
-    def _new(self, members: np.ndarray, width: int = 1) -> None:
-        """A cell of ``width`` blocks has a group for each block of entries and each block of queries."""
-        self.first[members] = self.groups
-        self.spread[members] = width
-        self.groups += width * width
-
-    def probed(self, v: np.ndarray, probes: int, reach: float) -> list[list[int]]:
-        """The held cells that each vector walks, nearest first."""
-        d1, d2 = self.halves(v)
-        # As many of each half as can be within reach of any of these vectors, with the nearest of the other half.
-        within = max(int((a <= reach - b.min(1)[:, None]).sum(1).max()) for a, b in ((d1, d2), (d2, d1))) + 1
-        n = min(max(NEAREST, within), self.k)
-
-        def shortlist(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            at = np.argpartition(d, n - 1, axis=1)[:, :n] if n < self.k else np.tile(np.arange(self.k), (len(d), 1))
-            val = np.take_along_axis(d, at, 1)
-            o = np.argsort(val, axis=1, kind="stable")
-            return np.take_along_axis(at, o, 1), np.take_along_axis(val, o, 1)
-
-        (a1, v1), (a2, v2) = shortlist(d1), shortlist(d2)
-        cell = a1[:, :, None] * self.k + a2[:, None, :]
-        held = self.first[cell] >= 0
-        out = []
-        for q in range(len(v)):
-            h, c = held[q].tolist(), cell[q].tolist()
-            out.append([c[a][b] for a, b in walk(v1[q].tolist(), v2[q].tolist(), lambda a, b, h=h: h[a][b], probes, reach)])
-        return out
+            for one in mine[counts[mine] > hot]:
+                new(np.array([one]), int(math.ceil(counts[one] / hot)))
+            small = mine[counts[mine] <= hot]
+            if len(small):
+                for sub in _halved(small, counts[small], lambda m: self.c2[cells[m] % self.k], group):
+                    new(sub)
+        self.first, self.spread, self.mean = np.array(first), np.array(spread), np.array(mean)
+
+    def centres(self, cells: np.ndarray) -> np.ndarray:
+        return np.hstack([self.c1[cells // self.k], self.c2[cells % self.k]])
+
+    def widen(self, sample: np.ndarray, visits: float) -> None:
+        """Set how much farther than the nearest mean another may be, so that the vectors of the sample visit so many places in the mean."""
+        self.border = border(sq_dist(unit(sample), self.mean), visits)
+
+    def visited(self, v: np.ndarray) -> np.ndarray:
+        """(vectors, places): the places that each visits; those of a hot cell, that place too."""
+        d = sq_dist(unit(v), self.mean)
+        may = d - d.min(1, keepdims=True) <= self.border
+        own = self.of[self.cells(v)]
+        hot = np.flatnonzero(self.spread[own] > 1)
+        may[hot, own[hot]] = True
+        return may
+
+
+def border(d: np.ndarray, visits: float) -> float:
+    """How much farther than the nearest place others may be, so that so many are within it in the mean. d: squared distances, vectors by places."""
+    gap = (d - d.min(1, keepdims=True)).ravel()
+    most = min(len(gap), math.ceil(visits * len(d)))
+    return float(np.partition(gap, most - 1)[most - 1])
+
+
+def leaves(x: np.ndarray) -> list[np.ndarray]:
+    """Rows that meet: each visits the leaf of the nearest centroid, and those of others that are hardly farther."""
+    n = len(x)
+    if n <= 2 * LEAF * LEAVES:
+        return [np.arange(n)]
+    order = np.random.default_rng(0).permutation(n)
+    fitted = min(FITTED, n // 2)
+    centroids = lloyd(x[order[:fitted]], math.ceil(n / LEAF), 4).astype(np.float32)
+    most = border(sq_dist(x[order[fitted:][:ASKED]], centroids), LEAVES)
+    rows, leaf = [], []
+    for s in range(0, n, 4096):
+        d = sq_dist(x[s : s + 4096], centroids)
+        i, j = np.nonzero(d - d.min(1, keepdims=True) <= most)
+        rows.append(i + s)
+        leaf.append(j)
+    rows, leaf = np.concatenate(rows), np.concatenate(leaf)
+    o = np.argsort(leaf, kind="stable")
+    return np.split(rows[o], np.searchsorted(leaf[o], np.arange(1, len(centroids))))
 
 
 def _halved(items: np.ndarray, weight: np.ndarray, point, most: float) -> list[np.ndarray]:
@@ -175,29 +187,20 @@ def distinct(ids: np.ndarray, raw: list[bytes]) -> tuple[list[bytes], list[np.nd
     return list(names), np.split(ids[o], np.searchsorted(code[o], np.arange(1, len(names))))
 
 
-def _routed(ids: list[np.ndarray], own: np.ndarray, raw: list[bytes], probed: list[list[int]], index: MultiIndex) -> pa.RecordBatch:
-    first, spread = index.first, index.spread
-    grp, home, ident, vec, probes = [], [], [], [], []
-    for i, cells in enumerate(probed):
-        at: dict[int, list[int]] = {}
-        block = hash_id(int(ids[i][0]))
-        for c in cells:
-            wide = int(spread[c])
-            for e in range(wide):  # a query meets all blocks of entries, in the groups of its own block of queries
-                at.setdefault(int(first[c]) + e * wide + block % wide, []).append(c)
-        o = int(own[i])
-        wide = int(spread[o])
-        mine = {int(first[o]) + block % wide * wide + j for j in range(wide)}  # an entry meets all blocks of queries
-        for g in mine:
-            at.setdefault(g, [])
-        for g, cs in at.items():
-            grp.append(g)
-            home.append(o if g in mine else -1)
-            ident.append(ids[i].tobytes())
-            vec.append(raw[i])
-            probes.append(np.array(cs, np.int32).tobytes())
+def _routed(ids: list[np.ndarray], raw: list[bytes], visited: np.ndarray, index: MultiIndex) -> pa.RecordBatch:
+    """``role``: 1 for an entry of the group, 2 for a query, 3 for both."""
+    row, place = np.nonzero(visited)
+    grp, role = index.first[place], np.full(len(row), 3)
+    if (wide := index.spread[place] > 1).any():  # an entry meets all blocks of queries, a query all blocks of entries
+        rest = [(row[~wide], grp[~wide], role[~wide])]
+        for i, p in zip(row[wide].tolist(), place[wide].tolist()):
+            n = int(index.spread[p])
+            own = hash_id(int(ids[i][0])) % n
+            at = [(own * n + j, 3 if j == own else 1) for j in range(n)] + [(j * n + own, 2) for j in range(n) if j != own]
+            rest.append((np.full(len(at), i), index.first[p] + np.array([g for g, _ in at]), np.array([r for _, r in at])))
+        row, grp, role = (np.concatenate(c) for c in zip(*rest))
     return pa.RecordBatch.from_arrays(
-        [pa.array(grp, pa.int32()), pa.array(home, pa.int32()), pa.array(ident, pa.binary()), pa.array(vec, pa.binary()), pa.array(probes, pa.binary())], ["grp", "home", "ids", "v", "probes"]
+        [pa.array(grp, pa.int32()), pa.array(role, pa.int32()), pa.array([ids[i].tobytes() for i in row], pa.binary()), pa.array([raw[i] for i in row], pa.binary())], ["grp", "role", "ids", "v"]
     )
 
 
@@ -205,67 +208,65 @@ def hash_id(i: int) -> int:
     return (i * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 40
 
 
-def score_group(packed_ids: list[bytes], home: np.ndarray, raw: list[bytes], probes: list[bytes], dim: int, k: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, neighbour id, score x 1e9 rounded): for each id's query its k best entries among the cells its row walks."""
+def score_group(packed_ids: list[bytes], role: np.ndarray, raw: list[bytes], dim: int, k: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, neighbour id, score x 1e9 rounded): for each id of a query its k best entries among those that it meets in a leaf."""
     row_content, names = pd.factorize(np.array(raw, dtype=object))
     n = len(names)
-    x = unit(np.frombuffer(b"".join(names), np.float32).reshape(-1, dim))
+    v = np.frombuffer(b"".join(names), np.float32).reshape(-1, dim)
     ids = np.frombuffer(b"".join(packed_ids), np.int64)
     of_row = np.repeat(np.arange(len(raw)), [len(b) // 8 for b in packed_ids])
     order = np.argsort(ids, kind="stable")
     ids, of_row = ids[order], of_row[order]
-    content, home = row_content[of_row], home[of_row]
-    # Entries: contents with a row at home, by their smallest id; at most k + 1 ids of a content can matter to anyone.
-    at_home = np.flatnonzero(home >= 0)
+    content, role = row_content[of_row], role[of_row]
+    # Entries: contents, by their smallest id; at most k + 1 ids of a content can matter to anyone.
     e_ids: list[list[int]] = [[] for _ in range(n)]
-    e_cell = np.full(n, -1, np.int64)
-    for r in at_home:
-        c = content[r]
-        e_cell[c] = home[r]
+    for c, i in zip(content[role & 1 > 0].tolist(), ids[role & 1 > 0].tolist()):
         if len(e_ids[c]) <= k:
-            e_ids[c].append(int(ids[r]))
-    entries = np.flatnonzero(e_cell >= 0)
-    smallest = np.array([e_ids[c][0] for c in entries], np.int64)
-    entries = entries[np.argsort(smallest, kind="stable")]
-    entries = entries[np.argsort(e_cell[entries], kind="stable")]
-    cells, begin = np.unique(e_cell[entries], return_index=True)
-    end = np.append(begin[1:], len(entries))
-    # Queries: contents, with the cells that the first row of that content walks here.
-    _, row = np.unique(row_content, return_index=True)
-    walked = [np.frombuffer(probes[r], np.int32) for r in row]
-    q_of = np.repeat(np.arange(n), [len(w) for w in walked])
-    c_of = np.concatenate(walked) if walked else np.zeros(0, np.int32)
-    o = np.argsort(c_of, kind="stable")
-    q_of, c_of = q_of[o], c_of[o]
-    lo, hi = np.searchsorted(c_of, cells, "left"), np.searchsorted(c_of, cells, "right")
+            e_ids[c].append(i)
+    entries = np.array([c for c in range(n) if e_ids[c]], np.int64)
+    entries = entries[np.argsort([e_ids[c][0] for c in entries], kind="stable")]
+    asks = np.zeros(n, bool)
+    asks[content[role & 2 > 0]] = True
+    ids, content = ids[role & 2 > 0], content[role & 2 > 0]
+    none = np.zeros(0, np.int64)
+    if not len(entries) or not len(ids):
+        return none, none, none
+    place = np.full(n, n, np.int64)  # of an entry, in the order of the smallest ids
+    place[entries] = np.arange(len(entries))
     m = k + 1
-    found_q, found_e, found_s = [], [], []
-    for j in range(len(cells)):
-        e = entries[begin[j] : end[j]]
-        qs = q_of[lo[j] : hi[j]]
+    near = np.concatenate([unit(v[s : s + 4096]).astype(np.float32) for s in range(0, n, 4096)])
+    floor = np.float32(least / 5e8 - 1 - 1e-5)
+    pairs, about, best = [none], [none.astype(np.float32)], [none]  # contents that may be near, with their scores in single precision, and the best of queries with many; a pair as one number
+    for rows in leaves(near):
+        e, qs = np.sort(place[rows]), rows[asks[rows]]
+        e = entries[e[e < n]]
         ne = len(e)
-        xe = x[e].T
+        if not ne:
+            continue
         step = max(1, BLOCK // ne)
         back = np.arange(ne - 1, -1, -1, dtype=np.int64)
         for s in range(0, len(qs), step):
             q = qs[s : s + step]
-            key = np.rint((x[q] @ xe + 1) * 5e8).astype(np.int64)
-            if ne > m:
-                key = (key << 24) | back
-                top = np.argpartition(key, ne - m, axis=1)[:, ne - m :]
-                key = np.take_along_axis(key, top, 1) >> 24
-                qq, ee = np.repeat(q, m), e[top.ravel()]
-            else:
-                qq, ee = np.repeat(q, ne), np.tile(e, len(q))
-            key = key.ravel()
-            ok = key >= least
-            found_q.append(qq[ok])
-            found_e.append(ee[ok])
-            found_s.append(key[ok])
-    if not found_q:
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    fq, fe, fs = np.concatenate(found_q), np.concatenate(found_e), np.concatenate(found_s)
+            cos = near[q] @ near[e].T
+            hit = cos >= floor
+            many = hit.sum(1) > FEW
+            i, j = np.nonzero(hit & ~many[:, None])
+            pairs.append(q[i] * n + e[j])
+            about.append(cos[i, j])
+            if many.any():
+                q = q[many]
+                key = np.rint((unit(v[q]) @ unit(v[e]).T + 1) * 5e8).astype(np.int64)
+                top = np.argpartition((key << 24) | back, ne - m, axis=1)[:, ne - m :] if ne > m else np.tile(np.arange(ne), (len(q), 1))
+                best.append((q[:, None] * n + e[top]).ravel())
+    found, at = np.unique(np.concatenate(pairs), return_index=True)
+    cos, q = np.concatenate(about)[at], found // n
+    o = np.lexsort((-cos, q))
+    found, cos, q = found[o], cos[o], q[o]
+    begin = np.searchsorted(q, q, "left")
+    last = np.minimum(begin + m, np.searchsorted(q, q, "right")) - 1  # the m-th best of the query
+    fq, fe = np.divmod(np.unique(np.concatenate([found[cos >= cos[last] - np.float32(4e-6)], *best])), n)
+    fs = np.concatenate([none, *(np.rint((np.einsum("ij,ij->i", unit(v[fq[s : s + 65536]]), unit(v[fe[s : s + 65536]])) + 1) * 5e8).astype(np.int64) for s in range(0, len(fq), 65536))])
+    fq, fe, fs = fq[fs >= least], fe[fs >= least], fs[fs >= least]
     # Ids in place of contents, then the best k + 1 of each query content.
     each = np.array([len(i) for i in e_ids])
     flat = np.array([i for e in e_ids for i in e], np.int64)
@@ -289,16 +290,14 @@ def score_group(packed_ids: list[bytes], home: np.ndarray, raw: list[bytes], pro
     return ids[who[keep]], fid[pos[keep]], fs[pos[keep]]
 
 
-def knn(vectors: DataFrame, k: int = 5, min_score: float = 0.0, dim: int = 128, probes: int = PROBES, reach: float | None = None, group: int = GROUP, hot: int = HOT) -> DataFrame:
+def knn(vectors: DataFrame, k: int = 5, min_score: float = 0.0, dim: int = 128, visits: float = VISITS, group: int = GROUP, hot: int = HOT) -> DataFrame:
     """``vec_id, neighbour, rk, score``: of each vector the k other vectors of highest score (at least ``min_score``) that the index finds,
     scores rounded to 9 decimals, of equal ones the smaller id first.
 
     vectors: ``vec_id, embedding`` as given by ``usable`` (ids unique, vectors finite and not zero). Other columns don't matter. No
-    vectors, or one, give no rows; copies are each other's neighbours. The search is approximate: pairs of the score that ``reach``
-    stands for (if it isn't given, the squared distance of two vectors of score ``min_score``, or REACH without one) are found nearly always, far ones (of vectors that resemble nothing) with the effort ``probes``; ``knn_lists`` has all.
-    Driver: it holds the sample and a count for each cell, at most MOST_CENTROIDS squared."""
-    reach = reach if reach is not None else 4 * (1 - min_score) if min_score > 0 else REACH
-    return _walked(_packed(vectors, dim), k, min_score, dim, probes, reach, group, hot)
+    vectors, or one, give no rows; copies are each other's neighbours. The search is approximate: pairs that score 0.9 or more are found nearly always, far ones (of
+    vectors that resemble nothing) often not; ``knn_lists`` has all. Driver: it holds the sample and a count for each cell, at most MOST_CENTROIDS squared."""
+    return _walked(_packed(vectors, dim), k, min_score, dim, visits, group, hot)
 
 
 def _packed(vectors: DataFrame, dim: int) -> DataFrame:
@@ -312,7 +311,7 @@ def _packed(vectors: DataFrame, dim: int) -> DataFrame:
     return materialize(vectors.select("vec_id", "embedding").mapInArrow(pack, "vec_id bigint, v binary"), "vectors")
 
 
-def _walked(packed: DataFrame, k: int, min_score: float, dim: int, probes: int, reach: float, group: int, hot: int) -> DataFrame:
+def _walked(packed: DataFrame, k: int, min_score: float, dim: int, visits: float, group: int, hot: int) -> DataFrame:
     spark = packed.sparkSession
     out = "vec_id bigint, neighbour bigint, rk int, score double"
     n = packed.count()
@@ -320,7 +319,8 @@ def _walked(packed: DataFrame, k: int, min_score: float, dim: int, probes: int,
         return spark.createDataFrame([], out)
     part = min(1.0, SAMPLE / n)
     sample = packed.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(part * (1 << 20)) + 1).select("v").limit(SAMPLE).toArrow()
-    index = MultiIndex(as_matrix(sample["v"].combine_chunks(), dim), n)
+    sample = as_matrix(sample["v"].combine_chunks(), dim)
+    index = MultiIndex(sample, n)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[int, int] = {}
@@ -334,6 +334,7 @@ def _walked(packed: DataFrame, k: int, min_score: float, dim: int, probes: int,
     sizes = packed.select("v").mapInArrow(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     group = min(group, max(1024, math.ceil(n / parallelism(spark))))  # as many groups as tasks, at least
     index.place(sizes["cell"].to_numpy().astype(np.int64), sizes["n"].to_numpy(), group, hot)
+    index.widen(sample[np.random.default_rng(0).permutation(len(sample))[:ASKED]], visits)
     placed = spark.sparkContext.broadcast(index)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,26 +343,28 @@ def _walked(packed: DataFrame, k: int, min_score: float, dim: int, probes: int,
             for s in range(0, len(raw), 1000):
                 part = raw[s : s + 1000]
                 m = np.frombuffer(b"".join(part), np.float32).reshape(-1, dim)
-                yield _routed(ids[s : s + 1000], placed.value.cells(m), part, placed.value.probed(m, probes, reach), placed.value)
+                yield _routed(ids[s : s + 1000], part, placed.value.visited(m), placed.value)
 
     least = math.ceil(round(min_score * 1e9, 3))
 
     def score(t: pa.Table) -> pa.Table:
-        q, e, s = score_group(t["ids"].to_pylist(), t["home"].to_numpy(), t["v"].to_pylist(), t["probes"].to_pylist(), dim, k, least)
+        q, e, s = score_group(t["ids"].to_pylist(), t["role"].to_numpy(), t["v"].to_pylist(), dim, k, least)
         return pa.table({"vec_id": q, "neighbour": e, "s": s})
 
-    routed = packed.mapInArrow(route, "grp int, home int, ids binary, v binary, probes binary")
+    routed = packed.mapInArrow(route, "grp int, role int, ids binary, v binary")
     local = routed.groupBy("grp").applyInArrow(score, "vec_id bigint, neighbour bigint, s bigint")
+    # A pair can meet in more groups than one.
+    local = local.repartition("vec_id").groupBy("vec_id", "neighbour").agg(F.max("s").alias("s"))
     w = Window.partitionBy("vec_id").orderBy(F.desc("s"), "neighbour")
     best = local.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
     return best.select("vec_id", "neighbour", "rk", (F.col("s") / 1e9).alias("score"))
 
 
-def knn_lists(vectors: DataFrame, k: int = 5, dim: int = 128, probes: int = PROBES, reach: float = REACH, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def knn_lists(vectors: DataFrame, k: int = 5, dim: int = 128, visits: float = VISITS, reach: float = REACH, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """``vec_id, neighbour, rk, score`` as ``knn``, of each vector the k nearest others whatever their scores: by the index where it finds k within ``reach``;
     the other vectors are scored against all, which is exact, and takes time in proportion to their number times that of all vectors."""
     packed = _packed(vectors, dim)
-    first = materialize(_walked(packed, k, 0.0, dim, probes, reach, GROUP, HOT), "walked")
+    first = materialize(_walked(packed, k, 0.0, dim, visits, GROUP, HOT), "walked")
     last = first.where(F.col("rk") == k).select("vec_id", F.col("score").alias("last"))
     sure = last.where(F.col("last") >= 1 - reach / 4).select("vec_id")
     loose = materialize(packed.join(sure, "vec_id", "left_anti").join(last, "vec_id", "left").select("vec_id", "v", F.coalesce("last", F.lit(-1.0)).alias("last")), "loose")
