@@ -56,7 +56,7 @@ METRICS = {"cosine": cosine, "raw": raw, "sq_l2": minus_sq_l2}
 
 
 class TopK:
-    """The k best of each query over batches: scores compared at 9 decimals, ties by smaller id."""
+    """The k best of each query over batches: scores compared at 9 decimals, ties by smaller id. They are kept as they are: rounded twice, some would differ in a later digit."""
 
     def __init__(self, queries: int, k: int):
         self.k = k
@@ -65,14 +65,15 @@ class TopK:
 
     def add(self, s: np.ndarray, ids: np.ndarray) -> None:
         """s: queries x items, NaN for no item."""
-        s = np.where(np.isnan(s), -np.inf, s).round(9)
+        s = np.where(np.isnan(s), -np.inf, s)
         if s.shape[1] > 4 * self.k:  # those below the k-th best can't matter; ties with it stay
-            least = np.partition(s, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k]
-            at = np.flatnonzero((s >= least[:, None]).any(0))
+            r = s.round(9)
+            least = np.partition(r, r.shape[1] - self.k, axis=1)[:, r.shape[1] - self.k]
+            at = np.flatnonzero((r >= least[:, None]).any(0))
             s, ids = s[:, at], ids[at]
         s = np.hstack([self.s, s])
         i = np.hstack([self.i, np.broadcast_to(ids, (len(s), len(ids)))])
-        o = np.lexsort((i, -s), axis=-1)[:, : self.k]
+        o = np.lexsort((i, -s.round(9)), axis=-1)[:, : self.k]
         self.s, self.i = np.take_along_axis(s, o, 1), np.take_along_axis(i, o, 1)
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

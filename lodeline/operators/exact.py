@@ -27,8 +27,8 @@ def topk(collection: DataFrame, query: list[float], k: int, score: Callable[[Col
 
 
 def ranked(local: DataFrame, k: int) -> DataFrame:
-    """``qid, vec_id, rk, score``: the k best of the tasks' lists."""
-    w = Window.partitionBy("qid").orderBy(F.desc("s"), "vec_id")
+    """``qid, vec_id, rk, score``: the k best of the tasks' lists, scores compared at 9 decimals."""
+    w = Window.partitionBy("qid").orderBy(F.round("s", 9).desc(), "vec_id")
     return local.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k).select("qid", "vec_id", "rk", F.col("s").alias("score"))
 
 
@@ -47,7 +47,7 @@ def query_slices(queries: DataFrame, dim_bytes: int = SLICE_BYTES) -> Iterator[t
 
 
 def batch_topk(collection: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", decode: Callable[[np.ndarray], np.ndarray] | None = None, scores: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """``qid, vec_id, rk, score``: for each query its k best vectors, scores at 9 decimals, ties by vec_id.
+    """``qid, vec_id, rk, score``: for each query its k best vectors, scores compared at 9 decimals, ties by vec_id.
 
     collection: ``vec_id, embedding``; queries: ``qid, q``. Rows that are null or of another dimension than the query take no part; no
     queries or no rows give none. The collection stays where it is: queries go to it in slices of a bounded size, each task scores its

@@ -51,7 +51,7 @@ def with_cell(vectors: DataFrame, cids: np.ndarray, c: np.ndarray) -> DataFrame:
 
 
 def _best(q: np.ndarray, v: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    o = np.lexsort((v, -s, q))
+    o = np.lexsort((v, -s.round(9), q))
     q, v, s = q[o], v[o], s[o]
     keep = np.arange(len(q)) - np.searchsorted(q, q, "left") < k
     return q[keep], v[keep], s[keep]

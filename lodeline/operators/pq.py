@@ -124,7 +124,7 @@ def search_reranked(codes: DataFrame, c: np.ndarray, vectors: DataFrame, queries
     """As ``batch_topk``: the k best by the exact score among the k x ``longer`` best by the codes. Only those are joined to their vectors."""
     found = search(codes, c, queries, k * longer).select("qid", "vec_id")
     d = found.join(vectors.select("vec_id", "embedding"), "vec_id").join(queries.select("qid", "q"), "qid")
-    return ranked(d.select("qid", "vec_id", F.round(cosine_score(F.col("embedding"), F.col("q")), 9).alias("s")), k)
+    return ranked(d.select("qid", "vec_id", cosine_score(F.col("embedding"), F.col("q")).alias("s")), k)
 
 
 def stats(n: int, m: int, sub_dim: int) -> dict[str, float]:

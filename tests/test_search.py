@@ -133,3 +133,10 @@ def test_hnsw_recall(spark, data):
 def test_graph_edges_clean(spark):
     n = spark.createDataFrame([(1, 1, [[1, 2, 2, None, 9], None]), (1, 2, None), (None, 3, [[1]]), (1, 2, [[1]])], "shard int, id bigint, neighbors array<array<bigint>>")
     assert sorted(map(tuple, graph.edges(n).collect())) == [(1, 0, 1, 2), (1, 0, 2, 1)]
+
+
+def test_scores_are_rounded_once(spark):
+    """At 9 decimals the score would be 0.2243535, which is 0.224354 at 6."""
+    rows = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id bigint, embedding array<double>")
+    found = exact.batch_topk(rows, rows.toDF("qid", "q"), 1, scores=lambda q, x: np.full((len(q), len(x)), 0.2243534999996))
+    assert [r.score for r in found.selectExpr("round(score, 6) AS score").collect()] == [0.224353]
