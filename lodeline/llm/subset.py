@@ -5,8 +5,8 @@ codeword direction is an attribute. The grid has bins of ``WIDTH`` in as many at
 ranked within their cells, ordered by rank, then by cell, and the first k are kept, so each place of the space gives its first record before any
 gives its second.
 
-Crowds: a varied subset, a few thousand records at most, stands for all. Every record goes to the record of the subset that it is most similar to (near
-a border to both), and the crowds, which are what the subset thins out, are resolved there exactly (see ``mutual``).
+Crowds: a varied subset, a few thousand records at most, stands for all. Every record goes to the record of the subset that it is most similar to; pairs that
+a border parts are found however wide a crowd spreads over it and however many borders meet there, and the crowds, which are what the subset thins out, are resolved there exactly (see ``mutual``).
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.functions.kmeans import sq_dist
 from lodeline.llm import mutual
 from lodeline.llm.neighbours import unit
 from lodeline.plans.runtime import materialize, small_methods
@@ -27,12 +26,6 @@ WIDTH = 0.15
 MOST_POINTS = 8192
 #: Records for each of them (or twice the square root of all, if that is more).
 CELL = 2048
-#: A record visits the cell beyond a border if its cosines to the two points differ by at most this. Half the distance of two members of a set is always enough,
-#: and is what counts between points that are near to each other; between far points a set spreads over less than this.
-BORDER = 0.045
-#: The cells that a record visits at most, the nearest ones. Of two parts of a set that meet at a border one member that visits is enough, and where more borders meet, the parts' other members are
-#: nearest to others of them.
-VISITS = 2
 _COUNTED = 12
 
 
@@ -114,17 +107,6 @@ def _nth(cells: DataFrame, n: int) -> int:
     return low
 
 
-class Places(mutual.Cells):
-    """Records of the subset, as the points of cells."""
-
-    def __init__(self, points: np.ndarray, min_score: float):
-        super().__init__(points, VISITS)
-        self.far = math.sqrt(4 * (1 - min_score))  # the distance of two members at most
-
-    def slack(self) -> np.ndarray:
-        return 2 * np.minimum(self.far / 2 * np.sqrt(sq_dist(self.points, self.points)), BORDER).astype(np.float32) + np.float32(1e-6)
-
-
 def crowds(vectors: DataFrame, codebooks: DataFrame, min_score: float = 0.985, least: int = 20, dim: int = 128, cell: int = CELL, hot: int = mutual.HOT) -> DataFrame:
     """``crowd_id, vec_id``: the sets of at least ``least`` vectors of which every two score at least ``min_score``, and which no further vector can
     join; crowd_id is the smallest vec_id of the set.
@@ -140,5 +122,5 @@ def crowds(vectors: DataFrame, codebooks: DataFrame, min_score: float = 0.985, l
     k = min(MOST_POINTS, math.ceil(n / max(cell, 2 * math.isqrt(n))))
     subset = first_of_cells(packed.select("vec_id", "bins"), len(dirs), k)
     points = packed.join(F.broadcast(subset.select("vec_id")), "vec_id").select("v").toArrow()["v"].to_pylist()  # k rows
-    places = Places(unit(np.frombuffer(b"".join(sorted(set(points))), np.float32).reshape(-1, dim)), min_score)
+    places = mutual.Cells(unit(np.frombuffer(b"".join(sorted(set(points))), np.float32).reshape(-1, dim)), whole=True)
     return mutual.mutual_sets(packed, places, min_score, least, dim, mutual.hot_cells(packed, places, dim, hot), hot).withColumnRenamed("set_id", "crowd_id")

@@ -312,3 +312,16 @@ def test_labels_between_blocks():
         near = x @ y.T >= 0.9
         assert (lx[near.any(1)] <= np.flatnonzero(near.any(1))).all() and all(lx[i] == ly[j] for i, j in zip(*np.nonzero(near))) and (lx[~near.any(1)] == mutual._NONE).all()
         assert mutual.near_weight(x, y, np.arange(7), 0.9).tolist() == (near @ np.arange(7)).tolist()
+
+
+def test_crowd_far_over_a_border(spark, monkeypatch):
+    """Two clumps 13.8 degrees apart, one on each side of a border between points at right angles."""
+    rng = np.random.default_rng(4)
+    turn = np.radians(np.repeat([38.1, 51.9], 10))
+    x = np.zeros((320, DIM))
+    x[:20, 0], x[:20, 1] = np.cos(turn), np.sin(turn)
+    x[:20, 2:] = 1e-4 * rng.standard_normal((20, DIM - 2))
+    x[20:] = rng.standard_normal((300, DIM))
+    cells = subset.Places(np.eye(DIM)[:12], 0.985) if hasattr(subset, "Places") else mutual.Cells(np.eye(DIM)[:12], whole=True)
+    got = mutual.mutual_sets(mutual.pack(frame(spark, x.astype(np.float32)), DIM), cells, 0.985, 20, DIM, {})
+    assert pairs_of(got) == [(1, i * 3 + 1) for i in range(20)]
