@@ -24,8 +24,8 @@ from lodeline.plans.runtime import materialize, small_methods
 WIDTH = 0.15
 #: Records of the subset that stands for all, at most; it goes to all tasks.
 MOST_POINTS = 8192
-#: Records for each of them (or twice the square root of all, if that is more).
-CELL = 2048
+#: Records for each of them, in the mean. Vectors meet those of fewer cells beyond the borders where cells are small.
+CELL = 512
 _COUNTED = 12
 
 
@@ -119,8 +119,10 @@ def crowds(vectors: DataFrame, codebooks: DataFrame, min_score: float = 0.985, l
     n = packed.count()
     if n < least:
         return vectors.sparkSession.createDataFrame([], "crowd_id bigint, vec_id bigint")
-    k = min(MOST_POINTS, math.ceil(n / max(cell, 2 * math.isqrt(n))))
+    k = min(MOST_POINTS, math.ceil(n / cell))
     subset = first_of_cells(packed.select("vec_id", "bins"), len(dirs), k)
     points = packed.join(F.broadcast(subset.select("vec_id")), "vec_id").select("v").toArrow()["v"].to_pylist()  # k rows
     places = mutual.Cells(unit(np.frombuffer(b"".join(sorted(set(points))), np.float32).reshape(-1, dim)), whole=True)
-    return mutual.mutual_sets(packed, places, min_score, least, dim, mutual.hot_cells(packed, places, dim, hot), hot).withColumnRenamed("set_id", "crowd_id")
+    sizes = mutual.hot_cells(packed, places, dim, 0)
+    places.slices = mutual.slices_of(places.points, sizes, mutual.SLICE_BYTES // (2 * dim))
+    return mutual.mutual_sets(packed, places, min_score, least, dim, {c: m for c, m in sizes.items() if m > hot}, hot).withColumnRenamed("set_id", "crowd_id")

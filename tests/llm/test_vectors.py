@@ -325,3 +325,20 @@ def test_crowd_far_over_a_border(spark, monkeypatch):
     cells = subset.Places(np.eye(DIM)[:12], 0.985) if hasattr(subset, "Places") else mutual.Cells(np.eye(DIM)[:12], whole=True)
     got = mutual.mutual_sets(mutual.pack(frame(spark, x.astype(np.float32)), DIM), cells, 0.985, 20, DIM, {})
     assert pairs_of(got) == [(1, i * 3 + 1) for i in range(20)]
+
+
+def test_borders_are_met_by_slices_of_near_cells(spark, books, monkeypatch):
+    """Vectors meet only the slices of cells within reach, and the sets are whole however many slices there are."""
+    rng = np.random.default_rng(6)
+    turned = lambda i, n, far: np.eye(DIM)[np.full(n, i)] + far * rng.standard_normal((n, DIM))
+    points = neighbours.unit(np.concatenate([turned(i, 3, 0.02) for i in range(8)])).astype(np.float32)
+    cells = mutual.Cells(points, whole=True)
+    cells.slices = np.repeat(np.arange(8), 3)
+    row, to = cells.slices_within(neighbours.unit(turned(2, 50, 0.005)), 6, mutual._far(0.97))
+    assert set(to) == {cells.slices[6]} and set(row) == set(range(50))
+    x = np.concatenate([turned(i, 30, 0.012) for i in range(6)]).astype(np.float32)
+    arc = np.random.default_rng(0).permutation(40) / 40
+    of = mutual.slices_of(np.stack([np.cos(arc), np.sin(arc)], 1), dict.fromkeys(range(40), 10), 100)
+    assert np.bincount(of).tolist() == [10, 10, 10, 10] and all(np.ptp(arc[of == s]) < 0.25 for s in range(4))
+    monkeypatch.setattr(mutual, "SLICE_BYTES", 20 * DIM * 2)
+    assert set(pairs_of(subset.crowds(frame(spark, x), books, cell=6))) == brute_sets(x, 0.985, 20)
