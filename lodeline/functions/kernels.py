@@ -31,8 +31,11 @@ def norms(x: np.ndarray) -> np.ndarray:
 def cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """(1 + cosine) / 2 with the zero-vector cases of ``cosine_score``."""
     nq, nx = norms(q), norms(x)
-    s = q @ x.T / np.where(nq == 0, 1, nq)[:, None] / np.where(nx == 0, 1, nx)
-    s = (1 + s) / 2
+    s = q @ x.T
+    s /= np.where(nq == 0, 1, nq)[:, None]  # in place: fresh memory for each step would take longer than the step
+    s /= np.where(nx == 0, 1, nx)
+    s += 1
+    s /= 2
     zq, zx = nq == 0, nx == 0
     if zq.any() or zx.any():
         s[zq[:, None] ^ zx[None, :]] = 0.5
@@ -65,16 +68,31 @@ class TopK:
 
     def add(self, s: np.ndarray, ids: np.ndarray) -> None:
         """s: queries x items, NaN for no item."""
-        s = np.where(np.isnan(s), -np.inf, s)
-        if s.shape[1] > 4 * self.k:  # those below the k-th best can't matter; ties with it stay
-            r = s.round(9)
-            least = np.partition(r, r.shape[1] - self.k, axis=1)[:, r.shape[1] - self.k]
-            at = np.flatnonzero((r >= least[:, None]).any(0))
-            s, ids = s[:, at], ids[at]
-        s = np.hstack([self.s, s])
-        i = np.hstack([self.i, np.broadcast_to(ids, (len(s), len(ids)))])
+        n = len(s)
+        if s.shape[1] > 4 * self.k:  # those below the k-th best, of before or of these, can't matter; ties with it stay
+            if self.s.shape[1] == self.k > 0:
+                least = self.s[:, -1]
+            else:
+                s = np.where(np.isnan(s), -np.inf, s)
+                least = np.partition(s, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k] if self.k else np.full(n, np.inf)
+            at = s >= (least - 2e-9)[:, None]  # beyond what 9 decimals tell apart
+            many = at.sum(1)
+            row, col = np.nonzero(at)
+            few = np.full((n, many.max(initial=0)), -np.inf)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            few[row, place] = s[row, col]
+            who = np.full(few.shape, np.iinfo(np.int64).max)
+            who[row, place] = ids[col]
+            some = np.flatnonzero(many) if self.s.shape[1] == self.k else np.arange(n)
+        else:
+            few, who, some = np.where(np.isnan(s), -np.inf, s), np.broadcast_to(ids, s.shape), np.arange(n)
+        s, i = np.hstack([self.s[some], few[some]]), np.hstack([self.i[some], who[some]])
         o = np.lexsort((i, -s.round(9)), axis=-1)[:, : self.k]
-        self.s, self.i = np.take_along_axis(s, o, 1), np.take_along_axis(i, o, 1)
+        s, i = np.take_along_axis(s, o, 1), np.take_along_axis(i, o, 1)
+        if s.shape[1] == self.s.shape[1]:
+            self.s[some], self.i[some] = s, i
+        else:
+            self.s, self.i = s, i
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         q = np.repeat(np.arange(len(self.s)), self.s.shape[1])

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import heapq
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -13,9 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeline.functions.kernels import TopK, cosine, matrix
+from lodeline.functions.kernels import matrix
 from lodeline.operators.exact import SCHEMA, query_slices, ranked
 
+#: Shards at most that are walked together, one after another, so that their lists are merged in their task.
+TOGETHER = 8
 #: Highest level of a node.
 TOP_LEVEL = 16
 
@@ -42,64 +43,79 @@ def level_of(ids: np.ndarray, config: HNSWConfig) -> np.ndarray:
     return np.minimum(np.floor(-np.log((bits + 0.5) * 2.0**-52) * config.ml), TOP_LEVEL).astype(np.int32)
 
 
+def layer_links(x: np.ndarray, first: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(where each row's links begin, rows linked to, nearest first) of a layer in which the rows were inserted in their order: a row links to the ``first`` nearest of those before it, they
+    link back, and of a row's links the ``most`` nearest stay. Which do doesn't depend on when the others go, so all rows are linked at once, from blocks of products in place of
+    a beam for each row; the nearest are the true ones, not those that a beam meets."""
+    src, dst, far = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for s in range(0, len(x), step := max(1, (1 << 21) // max(1, len(x)))):
+        d = (1 - x[s : s + step] @ x[: s + step].T) / 2
+        i = np.arange(len(d))
+        d[i[:, None] + s <= np.arange(d.shape[1])] = np.inf
+        near = np.argpartition(d, first - 1, axis=1)[:, :first] if d.shape[1] > first else np.broadcast_to(np.arange(d.shape[1]), d.shape)
+        own = np.take_along_axis(d, near, 1)
+        r, c = np.nonzero(own < np.inf)
+        src.append(r + s), dst.append(near[r, c]), far.append(own[r, c])
+    u, v, w = map(np.concatenate, (src, dst, far))
+    u, v, w = np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([w, w])
+    o = np.lexsort((v, w, u))
+    u, v = u[o], v[o]
+    stay = np.arange(len(u)) - np.searchsorted(u, u, "left") < most
+    return np.searchsorted(u[stay], np.arange(len(x) + 1)), v[stay]
+
+
 class Graph:
-    """A graph over the rows of an array. ``far(i, rows)`` gives distances of row (or query) i to rows."""
-
-    def __init__(self, config: HNSWConfig):
-        self.config, self.links, self.entry, self.top = config, [], -1, -1
-
-    def search_layer(self, far: Callable[[np.ndarray], np.ndarray], entry: list[tuple[float, int]], ef: int, layer: int) -> list[tuple[float, int]]:
-        """The ef nearest that a beam from ``entry`` meets, nearest first."""
-        seen = {i for _, i in entry}
-        todo = list(entry)
-        heapq.heapify(todo)
-        best = [(-d, -i) for d, i in entry]
-        heapq.heapify(best)
-        while todo:
-            d, i = heapq.heappop(todo)
-            if len(best) >= ef and d > -best[0][0]:
-                break
-            new = [j for j in self.links[i][layer] if j not in seen]
-            if not new:
-                continue
-            seen.update(new)
-            for dj, j in zip(far(np.array(new)).tolist(), new):
-                if len(best) < ef or dj < -best[0][0]:
-                    heapq.heappush(todo, (dj, j))
-                    heapq.heappush(best, (-dj, -j))
-                    if len(best) > ef:
-                        heapq.heappop(best)
-        return sorted((-d, -i) for d, i in best)
-
-    def insert(self, i: int, level: int, far: Callable[[int, np.ndarray], np.ndarray]) -> None:
-        self.links.append([[] for _ in range(level + 1)])
-        if self.entry < 0:
-            self.entry, self.top = i, level
-            return
-        own = lambda rows: far(i, rows)
-        near = [(float(own(np.array([self.entry]))[0]), self.entry)]
-        for layer in range(self.top, level, -1):
-            near = self.search_layer(own, near[:1], 1, layer)
-        for layer in range(min(level, self.top), -1, -1):
-            near = self.search_layer(own, near, self.config.ef_construction, layer)
-            most = self.config.m_max0 if layer == 0 else self.config.m
-            for _, j in near[:most]:
-                self.links[i][layer].append(j)
-                back = self.links[j][layer]
-                back.append(i)
-                if len(back) > most:
-                    d = far(j, np.array(back))
-                    self.links[j][layer] = [back[x] for x in np.lexsort((back, d))[:most]]
-        if level > self.top:
-            self.entry, self.top = i, level
-
-    def search(self, far: Callable[[np.ndarray], np.ndarray], k: int, ef: int) -> list[tuple[float, int]]:
-        if self.entry < 0:
-            return []
-        near = [(float(far(np.array([self.entry]))[0]), self.entry)]
-        for layer in range(self.top, 0, -1):
-            near = self.search_layer(far, near[:1], 1, layer)
-        return self.search_layer(far, near, max(ef, k), 0)[:k]
+    """A stored graph over rows 0..n-1, walked by many queries at once. links: for each row, for each of its layers, rows."""
+
+    def __init__(self, links: list[list[list[int]]], entry: int):
+        self.n, self.entry, self.layers = len(links), entry, []
+        for layer in range(len(links[entry]) if links else 0):
+            at = [i for i, own in enumerate(links) if len(own) > layer]
+            # Rows without the layer have the last place, which stands for no links; so does a place without a link, which is at row n.
+            place = np.full(self.n + 1, len(at))
+            place[at] = np.arange(len(at))
+            to = np.full((len(at) + 1, max([1, *(len(links[i][layer]) for i in at)])), self.n)
+            for p, i in enumerate(at):
+                to[p, : len(links[i][layer])] = links[i][layer]
+            self.layers.append((place, to))
+
+    def search(self, far: np.ndarray, ef: int) -> np.ndarray:
+        """(queries, ef): the nearest rows that a beam of ``ef`` meets, nearest first; n where there are fewer. far: distances (single precision, not below 0) of the queries to
+        all rows, which is overwritten. Each step takes every query's nearest row that wasn't taken yet and meets its links; a query ends when its beam has none."""
+        queries = np.arange(len(far))
+        far = np.hstack([far, np.full((len(far), 1), np.inf, np.float32)])
+        near = np.full(len(far), self.entry)
+        for place, to in self.layers[:0:-1]:
+            moving = queries
+            while len(moving):
+                links = to[place[near[moving]]]
+                d = far[moving[:, None], links]
+                best = d.argmin(1)
+                better = d[np.arange(len(moving)), best] < far[moving, near[moving]]
+                near[moving[better]] = links[better, best[better]]
+                moving = moving[better]
+        # A beam is sorted numbers: the distance's bits, the row, and whether it was taken.
+        key = lambda d, rows: d.view(np.int32).astype(np.int64) << 32 | rows << 1
+        place, to = self.layers[0]
+        nothing = key(np.full(1, np.inf, np.float32), np.array([self.n]))[0] | 1
+        beam = np.full((len(far), ef), nothing)
+        beam[:, 0] = key(far[queries, near], near)
+        far[queries, near] = np.inf
+        moving = queries
+        while True:
+            free = (beam[moving] & 1) == 0
+            moving = moving[free.any(1)]
+            if not len(moving):
+                return (beam & 0xFFFFFFFF) >> 1
+            taken = free[free.any(1)].argmax(1)
+            row = (beam[moving, taken] & 0xFFFFFFFF) >> 1
+            beam[moving, taken] |= 1
+            links = to[place[row]]
+            d = far[moving[:, None], links]
+            far[moving[:, None], links] = np.inf
+            new = key(d, links)
+            new[np.isinf(d)] = nothing
+            beam[moving] = np.sort(np.hstack([beam[moving], new]), axis=1)[:, :ef]
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -112,8 +128,7 @@ def shards_for(n: int, rows: int = 5000) -> int:
 
 
 def build(vectors: DataFrame, shards: int, config: HNSWConfig = HNSWConfig()) -> DataFrame:
-    """``shard, id, level, neighbors`` (array per layer, of ids). One graph per shard = hash of the id, built in the task that holds the shard (insertion is
-    sequential); ``shards_for`` keeps shards of a bounded size. Null and ragged vectors are left out; repeated ids are inserted once each."""
+    """``shard, id, level, neighbors`` (array per layer, of ids). One graph per shard = hash of the id, built in the task that holds the shard; ``shards_for`` keeps shards of a bounded size. Null and ragged vectors are left out; repeated ids are inserted once each."""
     d = vectors.where("vec_id is not null and embedding is not null").select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), "vec_id", "embedding")
 
     def one(t: pa.Table) -> pa.Table:
@@ -121,27 +136,34 @@ def build(vectors: DataFrame, shards: int, config: HNSWConfig = HNSWConfig()) ->
         ids = t["vec_id"].to_numpy()[at]
         o = np.argsort(ids, kind="stable")
         x, ids = _unit(x[o]), ids[o]
-        level, g = level_of(ids, config), Graph(config)
-        far = lambda i, rows: (1 - x[rows] @ x[i]) / 2
-        for i in range(len(ids)):
-            g.insert(i, int(level[i]), far)
-        links = [[[int(ids[j]) for j in layer] for layer in node] for node in g.links]
+        level = level_of(ids, config)
+        links: list[list[list[int]]] = [[] for _ in ids]
+        for layer in range(int(level.max(initial=-1)) + 1):
+            there = np.flatnonzero(level >= layer)
+            most = config.m if layer else config.m_max0
+            begin, to = layer_links(x[there], min(most, config.ef_construction), most)
+            to = ids[there[to]]
+            for n, i in enumerate(there.tolist()):
+                links[i].append(to[begin[n] : begin[n + 1]].tolist())
         return pa.table({"shard": pa.array([t["shard"][0].as_py()] * len(ids), pa.int32()), "id": ids, "level": level, "neighbors": pa.array(links, pa.list_(pa.list_(pa.int64())))})
 
     return d.groupBy("shard").applyInArrow(one, "shard int, id bigint, level int, neighbors array<array<bigint>>")
 
 
 def search(nodes: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, config: HNSWConfig = HNSWConfig(), prepare: Callable[[np.ndarray], Callable[[np.ndarray], np.ndarray]] | None = None) -> DataFrame:
-    """``qid, vec_id, rk, score`` as ``batch_topk``, approximately: each shard's graph gives its 2k best of a beam, which are merged by query.
+    """``qid, vec_id, rk, score`` as ``batch_topk``, approximately: each shard's graph gives the best of a beam, which are merged by query, those of up to TOGETHER shards in their task.
     nodes: as given by ``build``; vectors: ``vec_id, embedding`` (or codes, with ``prepare``, which makes of a query, once, a function
     of stored rows that gives their scores, higher better)."""
     spark = nodes.sparkSession
-    d = nodes.join(vectors.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")), "id").select("shard", "id", "level", "neighbors", "v")
+    d = nodes.join(vectors.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")), "id")
+    shards = nodes.agg(F.max("shard")).first()[0] or 0
+    together = max(1, min(TOGETHER, shards // (4 * spark.sparkContext.defaultParallelism)))
+    d = d.select(F.floor(F.col("shard") / together).alias("some"), "shard", "id", "level", "neighbors", "v")
     out = None
-    for qids, q in query_slices(queries):
+    for qids, q in query_slices(queries) if k > 0 else ():
         shared = spark.sparkContext.broadcast((qids, q))
 
-        part = d.groupBy("shard").applyInArrow(_beams(shared, k, config, prepare), SCHEMA)
+        part = d.groupBy("some").applyInArrow(_beams(shared, k, config, prepare), SCHEMA)
         out = part if out is None else out.union(part)
     return ranked(out if out is not None else spark.createDataFrame([], SCHEMA), k)
 
@@ -149,21 +171,33 @@ def search(nodes: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, con
 def _beams(shared, k: int, config: HNSWConfig, prepare) -> Callable[[pa.Table], pa.Table]:
     def one(t: pa.Table) -> pa.Table:
         qids, q = shared.value
-        x, at = matrix(t["v"])
-        ids, level = t["id"].to_numpy()[at], t["level"].to_numpy()[at]
-        place = {i: n for n, i in enumerate(ids.tolist())}
-        g = Graph(config)
-        links = t["neighbors"].to_pylist()
-        g.links = [[[place[j] for j in layer or [] if j in place] for layer in links[a] or []] or [[]] for a in at]
-        g.entry = int(np.lexsort((ids, -level))[0]) if len(ids) else -1
-        g.top = len(g.links[g.entry]) - 1 if len(ids) else -1
-        y, z = (x, q) if prepare else (_unit(x), _unit(q))
-        rows: tuple[list, list, list] = [], [], []
-        for n in range(len(q)):
-            of = prepare(z[n]) if prepare else lambda rows, n=n: (1 + rows @ z[n]) / 2
-            for dist, i in g.search(lambda r, of=of: 1 - of(y[r]), 2 * k, config.ef_search):
-                rows[0].append(int(qids[n])), rows[1].append(int(ids[i])), rows[2].append(round(1 - dist, 9))
-        return pa.table({"qid": pa.array(rows[0], pa.int64()), "vec_id": pa.array(rows[1], pa.int64()), "s": pa.array(rows[2], pa.float64())})
+        score, of = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+        z = q if prepare else _unit(q)
+        shards = t["shard"].to_numpy(zero_copy_only=False)
+        for shard in np.unique(shards):
+            own = t.filter(pa.array(shards == shard))
+            x, at = matrix(own["v"])
+            if not len(at):
+                continue
+            ids, level = own["id"].to_numpy()[at], own["level"].to_numpy()[at]
+            place = {i: n for n, i in enumerate(ids.tolist())}
+            links = own["neighbors"].to_pylist()
+            links = [[[place[j] for j in layer or [] if j in place] for layer in links[a] or []] or [[]] for a in at]
+            g = Graph(links, int(np.lexsort((ids, -level))[0]))
+            y = x if prepare else _unit(x)
+            small = y.astype(np.float32)
+            for s in range(0, len(q), step := max(1, (1 << 22) // len(y))):
+                some = z[s : s + step]
+                near = np.stack([prepare(one)(y) for one in some]).astype(np.float32) if prepare else (1 + some.astype(np.float32) @ small.T) / 2
+                met = g.search(np.maximum(1 - near, 0), max(config.ef_search, k))[:, :k]
+                found, rows = met < len(y), np.minimum(met, len(y) - 1)
+                exact = np.stack([prepare(one)(y[r]) for one, r in zip(some, rows)]) if prepare else (1 + np.einsum("ij,ikj->ik", some, y[rows])) / 2
+                both = np.hstack([score[s : s + step], np.where(found, exact, -np.inf).round(9)])
+                who = np.hstack([of[s : s + step], ids[rows]])
+                o = np.lexsort((who, -both), axis=-1)[:, :k]
+                score[s : s + step], of[s : s + step] = np.take_along_axis(both, o, 1), np.take_along_axis(who, o, 1)
+        n, j = np.nonzero(score > -np.inf)
+        return pa.table({"qid": pa.array(qids[n], pa.int64()), "vec_id": of[n, j], "s": score[n, j]})
 
     return one
 

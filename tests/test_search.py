@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from lodeline.functions.kernels import TopK
 from lodeline.operators import evaluate, exact, graph, ivf, kmeans, pq, sq8
 from lodeline.sources.synthetic import adversarial
 
@@ -140,3 +141,43 @@ def test_scores_are_rounded_once(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id bigint, embedding array<double>")
     found = exact.batch_topk(rows, rows.toDF("qid", "q"), 1, scores=lambda q, x: np.full((len(q), len(x)), 0.2243534999996))
     assert [r.score for r in found.selectExpr("round(score, 6) AS score").collect()] == [0.224353]
+
+
+def test_graph_walks_of_many_queries(spark):
+    """All queries walk at once, each as it would alone, and the links of a graph are the true nearest of those that came before."""
+    rng = np.random.default_rng(3)
+    x = graph._unit(rng.standard_normal((400, 16)))
+    begin, to = graph.layer_links(x, 4, 8)
+    far = (1 - x @ x.T) / 2
+    chosen = [set(sorted(range(i), key=lambda j: (far[i, j], j))[:4]) for i in range(len(x))]
+    both = [sorted(chosen[i] | {j for j in range(len(x)) if i in chosen[j]}, key=lambda j: (far[i, j], j))[:8] for i in range(len(x))]
+    assert [to[begin[i] : begin[i + 1]].tolist() for i in range(len(x))] == both
+    q = graph._unit(rng.standard_normal((50, 16)))
+    g = graph.Graph([[links] for links in both], 0)
+    d = ((1 - q @ x.T) / 2).astype(np.float32)
+    assert (g.search(d.copy(), 400)[:, :50] == np.argsort(d, 1, kind="stable")[:, :50]).mean() > 0.99  # a beam as wide as the graph
+    met = g.search(d.copy(), 20)
+    assert all((g.search(d[i : i + 1].copy(), 20) == met[i]).all() for i in range(50)) and all(len(set(r)) == 20 for r in met.tolist())
+    deep = [[[1], [2]], [[0, 2]], [[1], [0]]]  # rows 0 and 2 have a second layer
+    assert graph.Graph(deep, 0).search(np.array([[0.5, 0.25, 0.0]], np.float32), 4).tolist() == [[2, 1, 0, 3]]
+
+
+def test_best_of_many_small_batches():
+    """What is below the k-th best so far is left out before it is sorted; the lists are the same."""
+    rng = np.random.default_rng(5)
+    s = rng.integers(0, 40, (30, 900)) / 39
+    s[rng.random(s.shape) < 0.05] = np.nan
+    best = TopK(30, 4)
+    for b in range(0, 900, 90):
+        best.add(s[:, b : b + 90].copy(), np.arange(b, b + 90))
+    order = np.lexsort((np.broadcast_to(np.arange(900), s.shape), -np.where(np.isnan(s), -1, s)), axis=-1)[:, :4]
+    assert best.rows()[1].reshape(30, 4).tolist() == order.tolist()
+    rising = TopK(2000, 4)
+    sorted_rows = []
+    was, np.lexsort = np.lexsort, lambda keys, axis=-1: sorted_rows.append(keys[0].shape) or was(keys, axis=axis)
+    try:
+        for b in range(20):
+            rising.add(np.full((2000, 100), 1.0 - b / 100), np.arange(100))
+    finally:
+        np.lexsort = was
+    assert sum(n * m for n, m in sorted_rows[1:]) == 0
