@@ -63,36 +63,29 @@ class TopK:
 
     def __init__(self, queries: int, k: int):
         self.k = k
-        self.s = np.full((queries, 0), 0.0)
-        self.i = np.zeros((queries, 0), np.int64)
-
-    def add(self, s: np.ndarray, ids: np.ndarray) -> None:
-        """s: queries x items, NaN for no item."""
-        n = len(s)
-        if s.shape[1] > 4 * self.k:  # those below the k-th best, of before or of these, can't matter; ties with it stay
-            if self.s.shape[1] == self.k > 0:
-                least = self.s[:, -1]
-            else:
-                s = np.where(np.isnan(s), -np.inf, s)
-                least = np.partition(s, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k] if self.k else np.full(n, np.inf)
+        self.s = np.full((queries, k), -np.inf)
+        self.i = np.full((queries, k), np.iinfo(np.int64).max)
+
+    def add(self, s: np.ndarray, ids: np.ndarray, of: np.ndarray | None = None) -> None:
+        """s: queries x items, NaN for no item. of: the queries, if not all."""
+        of = np.arange(len(s)) if of is None else of
+        some, few, who = np.arange(len(s)), s, np.broadcast_to(ids, s.shape)
+        if s.shape[1] > 4 * self.k > 0:  # those below the k-th best, of before or of these, can't matter; ties with it stay
+            least = self.s[of, -1]
+            if len(new := np.flatnonzero(least == -np.inf)):
+                own = np.where(np.isnan(s[new]), -np.inf, s[new])
+                least[new] = np.partition(own, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k]
             at = s >= (least - 2e-9)[:, None]  # beyond what 9 decimals tell apart
             many = at.sum(1)
             row, col = np.nonzero(at)
-            few = np.full((n, many.max(initial=0)), -np.inf)
+            few, who = np.full((len(s), many.max(initial=0)), -np.inf), np.full((len(s), many.max(initial=0)), np.iinfo(np.int64).max)
             place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-            few[row, place] = s[row, col]
-            who = np.full(few.shape, np.iinfo(np.int64).max)
-            who[row, place] = ids[col]
-            some = np.flatnonzero(many) if self.s.shape[1] == self.k else np.arange(n)
-        else:
-            few, who, some = np.where(np.isnan(s), -np.inf, s), np.broadcast_to(ids, s.shape), np.arange(n)
-        s, i = np.hstack([self.s[some], few[some]]), np.hstack([self.i[some], who[some]])
+            few[row, place], who[row, place] = s[row, col], ids[col]
+            some = np.flatnonzero(many)
+        few = np.where(np.isnan(few[some]), -np.inf, few[some])
+        s, i = np.hstack([self.s[of[some]], few]), np.hstack([self.i[of[some]], who[some]])
         o = np.lexsort((i, -s.round(9)), axis=-1)[:, : self.k]
-        s, i = np.take_along_axis(s, o, 1), np.take_along_axis(i, o, 1)
-        if s.shape[1] == self.s.shape[1]:
-            self.s[some], self.i[some] = s, i
-        else:
-            self.s, self.i = s, i
+        self.s[of[some]], self.i[of[some]] = np.take_along_axis(s, o, 1), np.take_along_axis(i, o, 1)
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         q = np.repeat(np.arange(len(self.s)), self.s.shape[1])

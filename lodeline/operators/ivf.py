@@ -50,13 +50,6 @@ def with_cell(vectors: DataFrame, cids: np.ndarray, c: np.ndarray) -> DataFrame:
     return vectors.select("vec_id", "embedding").mapInArrow(run, f"cid int, vec_id bigint, embedding {kind}")
 
 
-def _best(q: np.ndarray, v: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    o = np.lexsort((v, -s.round(9), q))
-    q, v, s = q[o], v[o], s[o]
-    keep = np.arange(len(q)) - np.searchsorted(q, q, "left") < k
-    return q[keep], v[keep], s[keep]
-
-
 def search(cells: DataFrame, cids: np.ndarray, c: np.ndarray, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
     """``qid, vec_id, rk, score`` as ``batch_topk``, over the members of the ``nprobe`` cells nearest to each query. cells: ``cid, vec_id, embedding``.
 
@@ -73,23 +66,15 @@ def search(cells: DataFrame, cids: np.ndarray, c: np.ndarray, queries: DataFrame
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q, of_cell = shared.value
-            best = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-            held = 0
+            best = TopK(len(ids), k)
             for b in batches:
                 x, at = matrix(b.column("embedding"), q.shape[1])
                 own, cid = b.column("vec_id").to_numpy()[at], b.column("cid").to_numpy()[at]
                 for one in np.unique(cid).tolist():
                     rows, who = np.flatnonzero(cid == one), of_cell.get(one, np.zeros(0, np.int64))
                     for s in range(0, len(who), step := max(1, (1 << 22) // max(1, len(rows)))):
-                        few = TopK(len(who[s : s + step]), k)
-                        few.add(cosine(q[who[s : s + step]], x[rows]), own[rows])
-                        i, v, score = few.rows()
-                        best.append((who[s : s + step][i], v, score))
-                        held += len(i)
-                if held > 1 << 20:
-                    best = [_best(*map(np.concatenate, zip(*best)), k)]
-                    held = 0
-            i, v, s = _best(*map(np.concatenate, zip(*best)), k)
+                        best.add(cosine(q[who[s : s + step]], x[rows]), own[rows], who[s : s + step])
+            i, v, s = best.rows()
             yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(v), pa.array(s)], ["qid", "vec_id", "s"])
 
         local = cells.where(F.col("cid").isin(sorted(of_cell))).select("cid", "vec_id", "embedding").mapInArrow(run, SCHEMA)
